@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import linededup, simhash
+from pointweave.llm import bpe, linededup, simhash, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,31 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash)}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfiles.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), bits=8)
+    return tokenfiles.read_ids(manifest)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(warc.normalise(whole, delete_source=True), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = docs.select("doc_id", bpe.encode(F.col("text"), *own).alias("ids"))
+    both = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), *own).alias("decoded"))
+    shown = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), shown.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_files, op4_warc, op6_byte_bpe)}
 
 LINE_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -39,4 +64,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op1_line_dedup": LINE_DEDUP_SQL}
+#: SHA-1 as 40 hex digits, five of which are four characters of base32.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload)::BIGINT AS n, sha1(payload) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first FROM h WHERE n >= 0 GROUP BY hex)
+SELECT h.page_id, h.n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+  CASE WHEN f.first = h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f.first <> h.page_id THEN f.first END AS refers_to
+FROM h JOIN f USING (hex)
+"""
+
+ORACLE_SQL = {"op4_warc": WARC_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
