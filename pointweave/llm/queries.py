@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, linededup, simhash, tokenfiles, warc
+from pointweave.llm import bpe, decontam, linededup, simhash, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,13 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), shown.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_files, op4_warc, op6_byte_bpe)}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_files, op4_warc, op6_byte_bpe, op7_decontaminate)}
 
 LINE_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -78,4 +84,28 @@ SELECT h.page_id, h.n AS payload_bytes,
 FROM h JOIN f USING (hex)
 """
 
-ORACLE_SQL = {"op4_warc": WARC_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
+DECONTAMINATE_SQL = r"""
+WITH t AS (
+  SELECT doc_id AS id, false AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT item_id, true, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+s AS (SELECT DISTINCT least(len(w), 10) AS n FROM t WHERE item AND len(w) > 0),
+i AS (
+  SELECT DISTINCT id AS item_id, n, array_to_string(w[p : p + n - 1], ' ') AS win
+  FROM (SELECT id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p
+        FROM t WHERE item AND len(w) > 0)),
+d AS (
+  SELECT id, n, p, array_to_string(w[p : p + n - 1], ' ') AS win
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM t, s WHERE NOT item AND len(w) >= n)),
+h AS (SELECT d.id, d.p, d.n, i.item_id FROM d JOIN i ON d.win = i.win AND d.n = i.n),
+c AS (SELECT id, count(DISTINCT word) AS n_hit FROM (SELECT id, unnest(range(p, p + n)) AS word FROM h) GROUP BY id),
+m AS (SELECT id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+      FROM (SELECT DISTINCT id, item_id::VARCHAR AS name FROM h) GROUP BY id)
+SELECT t.id AS doc_id, len(t.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM t LEFT JOIN c ON t.id = c.id LEFT JOIN m ON t.id = m.id WHERE NOT t.item
+"""
+
+ORACLE_SQL = {"op7_decontaminate": DECONTAMINATE_SQL, "op4_warc": WARC_SQL, "op1_line_dedup": LINE_DEDUP_SQL}
