@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, decontam, linededup, simhash, tokenfiles, warc
+from pointweave.llm import bpe, decontam, linededup, ruleensemble, rulelists, simhash, tokenfiles, warc
+from pointweave.llm.labelled import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +53,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_files, op4_warc, op6_byte_bpe, op7_decontaminate)}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ruleensemble.scored(docs, ruleensemble.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = rulelists.judged(docs, rulelists.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_files, op4_warc, op5_quality_classifier, op6_byte_bpe, op7_decontaminate, op9_quality_rules)}
 
 LINE_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
