@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, decontam, linededup, ruleensemble, rulelists, simhash, tokenfiles, warc
+from pointweave.llm import bpe, decontam, licenses, linededup, ruleensemble, rulelists, simhash, tokencounts, tokenfiles, warc
 from pointweave.llm.labelled import held_out
 
 
@@ -65,7 +65,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_files, op4_warc, op5_quality_classifier, op6_byte_bpe, op7_decontaminate, op9_quality_rules)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokencounts.token_counts(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return table(spark, sf_dir, "documents").select("doc_id", counts.alias("counts")).select("doc_id", "counts.*")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan_column(F.col("text"), licenses.build_index(docs))
+    return docs.select("doc_id", found.alias("found")).select("doc_id", "found.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_token_files, op4_warc, op5_quality_classifier, op6_byte_bpe, op7_decontaminate, op8_token_counts, op9_quality_rules, op10_license_scan)}
 
 LINE_DEDUP_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
