@@ -2,15 +2,15 @@
 
 A pre-token is a word (a run of other than ``[\\x20\\x09-\\x0D]``) behind the piece that marks a word's start. Its
 segmentation is the one of the greatest sum of piece scores, of equal ones the one of fewest pieces. A forward score
-depends on the characters up to its place only, so each distinct pre-token is inserted into a trie whose nodes hold the
-forward score and the number of pieces of their prefix: a shared prefix is computed once, and a pre-token's count stands
-at its terminal node. Counts of whole pre-tokens are kept beside the trie; a document is a sum of them.
+depends on the characters up to its place only, so the distinct pre-tokens of some hundred documents are inserted into a
+trie whose nodes hold the forward score and the number of pieces of their prefix: a shared prefix is computed once, and a
+pre-token's count stands at its terminal node. Terminal counts are kept; a document is a sum of them.
 
 The pieces are those of a public sentencepiece vocabulary, which orders them by rank but has no unigram scores. By Zipf's
 law the k-th piece's log-probability is about -log(k + 1); scores are that, in whole thousandths, so sums are exact. A
 character that no piece covers is its UTF-8 bytes, a piece each, each scored ``BYTE_COST`` below zero.
 
-A worker's trie is bounded by ``MAX_NODES`` and begins anew beyond; counts don't depend on that. Everything is local to a
+What a worker keeps is bounded; what falls out is computed anew, so counts don't depend on it. Everything is local to a
 row: no shuffle, and a word that all documents share costs one computation per worker.
 
 Defined results: a null or empty text has no words and no tokens. Repeated rows get a row each; other columns don't matter.
@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import slices
+from pointweave.llm.common import TwoGenerations, slices
 
 MARK = "▁"
 BYTE_COST = 20_000
-MAX_NODES = 400_000
+#: Pre-tokens whose counts a worker keeps, twice; bits of a sum that hold the pieces.
+CACHE, PIECE_BITS = 400_000, 40
 RESULT = "struct<n_words:bigint,n_tokens:bigint,cost:bigint>"
 
 
@@ -43,72 +44,84 @@ def load_costs(path: str) -> dict[str, int]:
     return {model.id_to_piece(i): round(1000 * math.log(k + 2)) for k, i in enumerate(ranked)}
 
 
-class Trie(dict):
-    """Pre-token to (pieces, cost); the nodes of the trie behind it.
+class Pieces:
+    """The vocabulary's pieces as a trie: ``step`` from a place by a character, ``whole`` the cost of a piece that ends."""
 
-    A node holds its prefix's cost and pieces, and ``open``: the pieces that may go on behind it, each as the node where
-    it begins and its place among the pieces, which are a trie too.
-    """
-
-    def __init__(self, costs: dict[str, int], max_nodes: int = MAX_NODES):
-        super().__init__()
-        self.max_nodes = max_nodes
+    def __init__(self, costs: dict[str, int]):
         self.step: dict[int, int] = {}
         self.whole: list[int | None] = [None]
         for piece, cost in costs.items():
             at = 0
             for char in piece:
-                key = at * 0x110000 + ord(char)
+                key = at << 21 | ord(char)
                 at = self.step.get(key)
                 if at is None:
                     at = self.step[key] = len(self.whole)
                     self.whole.append(None)
             self.whole[at] = cost
-        self.plant()
-
-    def plant(self) -> None:
-        self.clear()
-        self.child: dict[int, int] = {}
-        self.cost, self.pieces, self.open = [0], [0], [()]
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        child, cost, pieces, step, whole = self.child, self.cost, self.pieces, self.step, self.whole
-        at = 0
-        for char in MARK + word:
-            code = ord(char)
-            node = child.get(at * 0x110000 + code)
-            if node is None:
-                n = 1 if code < 128 else len(char.encode())
-                best, count = cost[at] + n * BYTE_COST, pieces[at] + n
-                going = []
-                for from_, place in (*self.open[at], (at, 0)):
-                    place = step.get(place * 0x110000 + code)
+
+
+class Terminals(TwoGenerations):
+    """Pre-token (as bytes, without its mark) to its terminal node's cost, shifted, and number of pieces.
+
+    ``learn`` inserts distinct pre-tokens into a trie, in sorted order, depth first: a node's children follow it, so only
+    the nodes of the current path are held. A node has the cost and pieces of its prefix, and the vocabulary's pieces that
+    may still go on behind it, each as the depth where it begins and its place.
+    """
+
+    def __init__(self, costs: dict[str, int], limit: int = CACHE):
+        super().__init__(limit)
+        self.vocabulary = Pieces(costs)
+
+    def learn(self, words: set[bytes]) -> None:
+        new = []
+        for w in words:
+            if w not in self:
+                known = self.old.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self[w] = known
+        new.sort()
+        step, whole = self.vocabulary.step.get, self.vocabulary.whole
+        path, cost, pieces, going = "", [0], [0], [()]
+        for raw in new:
+            text = MARK + raw.decode()
+            depth, most = 0, min(len(path), len(text))
+            while depth < most and path[depth] == text[depth]:
+                depth += 1
+            del cost[depth + 1 :], pieces[depth + 1 :], going[depth + 1 :]
+            for at in range(depth, len(text)):
+                code = ord(text[at])
+                n = 1 if code < 128 else len(text[at].encode())
+                best, count, open_ = cost[at] + n * BYTE_COST, pieces[at] + n, []
+                for begin, place in (*going[at], (at, 0)):
+                    place = step(place << 21 | code)
                     if place is not None:
-                        going.append((from_, place))
+                        open_.append((begin, place))
                         own = whole[place]
                         if own is not None:
-                            total = cost[from_] + own
-                            if total < best or total == best and pieces[from_] + 1 < count:
-                                best, count = total, pieces[from_] + 1
-                node = child[at * 0x110000 + code] = len(cost)
+                            own += cost[begin]
+                            if own < best or own == best and pieces[begin] + 1 < count:
+                                best, count = own, pieces[begin] + 1
                 cost.append(best)
                 pieces.append(count)
-                self.open.append(going)
-            at = node
-        found = self[word] = pieces[at], cost[at]
-        return found
+                going.append(open_)
+            path = text
+            self[raw] = cost[-1] << PIECE_BITS | pieces[-1]
 
-    def count(self, text: str | None) -> tuple[int, int, int]:
-        if len(self.cost) > self.max_nodes:
-            self.plant()
-        words = [w.decode() for w in (text or "").encode().split()]
-        found = list(map(self.__getitem__, words))
-        return len(words), sum(f[0] for f in found), sum(f[1] for f in found)
+    def count(self, texts: list) -> list[tuple[int, int, int]]:
+        self.rotate()
+        found = [(t or "").encode().split() for t in texts]
+        self.learn(set().union(*found))
+        get, low = self.__getitem__, (1 << PIECE_BITS) - 1
+        sums = [sum(map(get, words)) for words in found]
+        return [(len(words), s & low, s >> PIECE_BITS) for words, s in zip(found, sums, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
-def trie(path: str) -> Trie:
-    return Trie(load_costs(path))
+def terminals(path: str) -> Terminals:
+    return Terminals(load_costs(path))
 
 
 def token_counts(text: Column, path: str) -> Column:
@@ -116,8 +129,8 @@ def token_counts(text: Column, path: str) -> Column:
 
     @F.arrow_udf(RESULT)
     def unigram_counts(texts: pa.Array) -> pa.Array:
-        own = trie(path)
-        rows = [own.count(t) for part in slices(texts) for t in part]
+        own = terminals(path)
+        rows = [r for part in slices(texts) for r in own.count(part)]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["n_words", "n_tokens", "cost"])
 
     return unigram_counts(text.cast("string"))
