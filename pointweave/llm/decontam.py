@@ -24,12 +24,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import written
+from pointweave.llm.common import fresh, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Low bits of a fingerprint that hold its place; a text has fewer words.
 PLACE_BITS = 30
+#: No fingerprint: those have 64 - PLACE_BITS bits.
+OWN = 1 << 62
 
 
 def words_of(text: Column) -> Column:
@@ -56,11 +58,31 @@ def grams(words: Column, length: int, tag: int) -> Column:
     return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length), packed)).otherwise(F.array().cast("array<bigint>"))
 
 
+def shifted(array: Column, n: int) -> Column:
+    return F.slice(array, n + 1, F.greatest(F.size(array) - n, F.lit(0)))
+
+
+def chained(array: Column, length: int, join: Callable[[Column, Column], Column]) -> Column:
+    """join over each ``length`` neighbours (a shorter run at the end), by doubling; runs overlap, so of another than a
+    power of 2 some neighbours are joined twice."""
+
+    def joined(step: int) -> Callable[[Column], Column]:
+        return lambda a: F.zip_with(a, shifted(a, step), join)
+
+    size = 1
+    while size < length:
+        step = min(size, length - size)
+        array, size = let(array, joined(step)), size + step
+    return array
+
+
 def chosen(words: Column, window: int, k: int) -> Column:
     """The winnowed fingerprints."""
-    n, w = F.size(words), window - k + 1
-    least = let(grams(words, k, 0), lambda g: F.transform(F.sequence(F.lit(0), n - window), lambda i: F.array_min(F.slice(g, i + 1, w))))
-    return F.when(n >= window, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+    hashed = chained(words, k, lambda x, y: F.xxhash64(x, y)) if k > 1 else F.transform(words, lambda x: F.xxhash64(x))
+    place = lambda x, i: F.shiftleft(F.shiftright(x, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("bigint"))
+    packed = F.slice(F.transform(hashed, place), 1, F.size(words) - k + 1)
+    least = F.slice(chained(packed, window - k + 1, lambda x, y: F.least(x, y)), 1, F.size(words) - window + 1)
+    return F.when(F.size(words) >= window, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
 
 
 def with_marks(df: DataFrame, window: int, k: int, lengths: list[int]) -> DataFrame:
@@ -70,17 +92,22 @@ def with_marks(df: DataFrame, window: int, k: int, lengths: list[int]) -> DataFr
 
 
 def split_mark(df: DataFrame) -> DataFrame:
+    """mark to its hash's bits and its place; null, which stands for the document itself, to OWN."""
     place = F.col("mark").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    return df.withColumn("place", place).withColumn("mark", F.shiftright("mark", PLACE_BITS))
+    return df.withColumn("place", place).withColumn("mark", F.coalesce(F.shiftright("mark", PLACE_BITS), F.lit(OWN)))
+
+
+def run(own: Column, own_at: Column, other: Column, other_at: int, step: int, count: int) -> Column:
+    """How many of ``count`` words in a row are equal, from the two places on, forward (step 1) or back (-1).
 
+    A fold, which is evaluated above the join, for its hits only: conditions in a row would be compiled into the join's
+    loop, which the JVM leaves to its interpreter when it gets long."""
 
-def run(own: Column, other: Column, offsets: list[tuple[int, int]]) -> Column:
-    """How many of the (own, other) places, from the first on, hold equal words."""
-    out = F.lit(len(offsets))
-    for n, (i, j) in reversed(list(enumerate(offsets))):
-        equal = F.get(own, F.col("place") + F.lit(i)) == F.get(other, F.lit(j))
-        out = F.when(F.coalesce(equal, F.lit(False)), out).otherwise(F.lit(n))
-    return out
+    def more(n: Column, j: Column) -> Column:
+        equal = F.get(own, own_at + j * step) == F.get(other, F.lit(other_at) + j * step)
+        return F.when((n == j) & equal, n + 1).otherwise(n)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(count - 1)), F.lit(0), more) if count else F.lit(0)
 
 
 def marked_items(benchmark: DataFrame, item_id: str, item_text: str, window: int, k: int) -> tuple[DataFrame, list[int]]:
@@ -98,41 +125,70 @@ def marked_items(benchmark: DataFrame, item_id: str, item_text: str, window: int
 
 
 def spans(docs: DataFrame, items: DataFrame, lengths: list[int], window: int, k: int, broadcast_rows: int) -> DataFrame:
-    """docs: (id, th, words). Gives (id, th, item_id, start, end) of the hits."""
+    """docs: (id, th, words). Gives a row (id, th, n_words) per document, and (id, th, item_id, start, end, need) of each
+    equal run of words around a shared fingerprint."""
     back = window - k
-    marked = with_marks(docs, window, k, lengths)
+    marked = with_marks(docs, window, k, lengths).withColumn("n_words", F.size("words"))
     if items.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        rows = split_mark(marked.select("id", "th", "words", F.explode("marks").alias("mark")))
-        found = rows.join(F.broadcast(items), "mark")
+        # one more mark stands for the document itself and meets a row without an item. The join gives hits and that row
+        # only, so that the words, which go with each mark, are copied for no others.
+        every = F.concat("marks", F.array(F.lit(None).cast("bigint")))
+        rows = split_mark(marked.select("id", "th", "words", "n_words", F.explode(every).alias("mark")))
+        none = items.sparkSession.range(1).select(F.lit(OWN).alias("mark"))
+        found = rows.join(F.broadcast(items.unionByName(none, allowMissingColumns=True)), "mark")
     else:
         rows = split_mark(marked.select("id", "th", F.explode("marks").alias("mark")))
-        found = rows.join(items, "mark").drop("mark")
+        hits = rows.join(items, "mark")
         texts = docs.dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "own_id", "th": "own_th"})
-        found = found.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")))
-    own, other = F.col("words"), F.col("around")
-    left = run(own, other, [(-j, back - j) for j in range(1, back + 1)])
-    right = run(own, other, [(j, back + j) for j in range(window)])
-    found = found.select("id", "th", "item_id", "place", "need", left.alias("left"), right.alias("right"))
-    found = found.where(F.col("left") + F.col("right") >= F.col("need"))
-    return found.select("id", "th", "item_id", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
+        hits = hits.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))).drop("own_id", "own_th")
+        found = docs.select("id", "th", F.size("words").alias("n_words")).unionByName(hits, allowMissingColumns=True)
+    # in the join's own loop only a hit's neighbourhood is cut out, so no hit carries its whole text
+    hit, low = F.col("need").isNotNull(), F.greatest(F.col("place") - back, F.lit(0))
+    near = F.when(hit, F.slice("words", low + 1, window + back)).alias("near")
+    found = found.select("id", "th", "item_id", "place", (F.col("place") - low).alias("own"), "need", "around", near, F.when(~hit, F.col("n_words")).alias("n_words"))
+    left = run(F.col("near"), F.col("own") - 1, F.col("around"), back - 1, -1, back)
+    right = run(F.col("near"), F.col("own"), F.col("around"), back, 1, window)
+    found = found.select("id", "th", "n_words", "item_id", (F.col("place") - left).alias("start"), (F.col("place") + right).alias("end"), "need")
+    # judged as read again: as a condition of the join it would take the join out of generated code
+    return written(found, "hits")
+
 
+def hits_of(found: DataFrame) -> DataFrame:
+    """The rows of spans that cover a window."""
+    return found.where(F.col("end") - F.col("start") >= F.col("need"))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 6, broadcast_rows: int = 100_000) -> DataFrame:
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 4, broadcast_rows: int = 100_000) -> DataFrame:
     """A row per document: id, n_words, n_hit, n_items, items (the hit items' ids, sorted as strings), contaminated."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), words_of(text).alias("words"))
     items, lengths = marked_items(benchmark, item_id, item_text, window, k)
     items = written(items, "benchmark")
-    hits = written(spans(rows, items, lengths, window, k, broadcast_rows).distinct(), "hits")
+    found = spans(rows, items, lengths, window, k, broadcast_rows)
+    base, hits = found.where("n_words IS NOT NULL"), hits_of(found)
     # a word and an item at a time before a document: no task needs all hits of one
-    covered = hits.select("id", "th", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()
+    spanned = hits.select("id", "th", "start", "end").distinct()
+    covered = spanned.select("id", "th", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()
     n_hit = covered.groupBy("id", "th").agg(F.count("*").alias("n_hit"))
     named = hits.select("id", "th", "item_id").distinct().groupBy("id", "th").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    found = n_hit.withColumnsRenamed({"id": "hit_id", "th": "hit_th"}).join(named, F.col("hit_id").eqNullSafe(F.col("id")) & (F.col("hit_th") == F.col("th")), "left").drop("id", "th")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.size(words_of(text)).cast("bigint").alias("n_words"))
-    joined = base.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
+    own = lambda df: df.withColumnsRenamed({"id": "hit_id", "th": "hit_th"})
+    same = F.col("hit_id").eqNullSafe(F.col("id")) & (F.col("hit_th") == F.col("th"))
+    joined = base.select("id", "th", "n_words").join(own(n_hit), same, "left").drop("hit_id", "hit_th").join(own(named), same, "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.col("id").alias(id_col), F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size(listed).cast("bigint").alias("n_items"), listed.alias("items"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 4, broadcast_rows: int = 100_000) -> DataFrame:
+    """The documents without a hit, with all their columns. Hits meet their documents by id and hash of the text."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), words_of(text).alias("words"))
+    items, lengths = marked_items(benchmark, item_id, item_text, window, k)
+    found = spans(rows, written(items, "benchmark"), lengths, window, k, broadcast_rows)
+    found = hits_of(found).select("id", "th").distinct()
+    own, owner = fresh(docs, "text_hash"), fresh(docs, "text_owner")
+    found = found.select(F.col("id").alias(owner), F.col("th").alias(f"{owner}_hash"))
+    same = F.col(id_col).eqNullSafe(F.col(owner)) & (F.col(own) == F.col(f"{owner}_hash"))
+    return docs.withColumn(own, F.xxhash64(text)).join(found, same, "left_anti").drop(own)

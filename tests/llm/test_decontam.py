@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointweave.llm import decontam, queries
 
@@ -83,3 +84,25 @@ def test_empty(spark, docs_of):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = queries.op7_decontaminate(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_winnowing(spark):
+    """Fewer than half of the k-grams are chosen, one in each window at least, and none of equal words twice in a window."""
+    r = random.Random(3)
+    text = " ".join(f"w{r.randrange(50)}" for _ in range(4000))
+    df = spark.createDataFrame([(text,)], "text string").select(decontam.words_of(F.col("text")).alias("words"))
+    marks = decontam.split_mark(decontam.with_marks(df, 10, 4, []).select(F.explode("marks").alias("mark")))
+    rows = marks.collect()
+    places = sorted(r["place"] for r in rows)
+    assert len(places) == len(set(places)) < 0.35 * 4000
+    assert places[0] <= 6 and places[-1] >= 4000 - 10 and max(b - a for a, b in zip(places, places[1:], strict=False)) <= 7
+    w = text.split()
+    named = {}
+    for r in rows:
+        assert named.setdefault(r["mark"], w[r["place"] : r["place"] + 4]) == w[r["place"] : r["place"] + 4]
+
+
+def test_chained(spark):
+    df = spark.createDataFrame([(list("abcdefghij"),)], "w array<string>")
+    got = df.select(decontam.chained(F.col("w"), 4, lambda x, y: F.concat(x, y))).first()[0]
+    assert got[:7] == ["abcd", "bcde", "cdef", "defg", "efgh", "fghi", "ghij"]
