@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from itertools import chain
 
 import numpy as np
@@ -25,6 +26,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pointweave.llm import latin
 from pointweave.llm.common import TwoGenerations, slices
 
 NONE = np.int64(2**62)
@@ -169,9 +171,14 @@ class Ranks:
 class Encoder(TwoGenerations):
     """Pre-token to packed ids."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 250_000):
+    def __init__(self, path: str, pattern: str, limit: int = 400_000):
         super().__init__(limit)
-        self.ranks, self.find = Ranks(path), regex.compile(pattern).findall
+        self.ranks, self.find_any = Ranks(path), regex.compile(pattern).findall
+        plain = latin.plain_pattern(pattern)
+        self.find_plain = re.compile(plain).findall if plain else None
+
+    def find(self, text: str) -> list[str]:
+        return self.find_any(text) if self.find_plain is None or latin.BEYOND(text) else self.find_plain(text)
 
     def learn(self, pieces: set[str]) -> None:
         new = []
@@ -233,10 +240,11 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def bpe_decode(ids: pa.Array) -> pa.Array:
-        own = encoder(path, pattern)
-        out = []
-        for at in range(0, len(ids), 64):
-            out += [own.decode(x or ()) for x in ids.slice(at, 64).to_pylist()]
+        own, out = encoder(path, pattern), []
+        values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        for a, b, none in zip(ends, ends[1:], null, strict=False):
+            out.append(b"" if none else own.decode(values[a:b].tolist()))
         return pa.array(out, pa.binary())
 
     return bpe_decode(ids)
