@@ -15,7 +15,7 @@ The index lets a reader open any block, and so any document, alone.
 Documents are range-partitioned by id and sorted, each partition is one file, and files in the order of their partitions
 hold the documents in ascending order. Only a row per file reaches the driver, for the running number of ids.
 
-Encoding splits at ASCII blanks (the tokenizer drops white space and never joins over it), has the library encode each
+Encoding cuts texts into pieces (the tokenizer drops white space and never joins over it), has the library encode each
 piece that its worker's bounded cache lacks, many joined by blanks at a time, and puts the ids together again.
 
 Defined results: a null or empty text has the end id only. A null id comes first. Rows with equal ids are ordered by their
@@ -25,7 +25,9 @@ texts and keep a row each. Only the id and text columns are read.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm import latin
 from pointweave.llm.common import TwoGenerations, drop_written, new_path, slices, written
 from pointweave.llm.files import Folder, own_name
 
@@ -153,16 +156,42 @@ class Reader:
 
 
 class WordEncoder(TwoGenerations):
-    """Piece of text without ASCII blanks (as bytes) to packed ids, encoded by the tokenizers library."""
+    """Piece of text without ASCII blanks to packed ids, encoded by the tokenizers library.
 
-    def __init__(self, path: str, limit: int = 250_000):
+    Pieces are a text's runs between ASCII blanks. If the tokenizer composes, lower-cases and then splits by a pattern, a
+    text of Latin characters only (all composed already) is lower-cased and split likewise here, so that its pieces are
+    single pre-tokens, of which there are far fewer distinct ones.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__(limit)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, pieces: set[bytes]) -> None:
+        end = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if end and t.endswith(end)]] = True
+        self.find = self.pattern() if end else None
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        # texts with these are left to the library: characters beyond, those whose lower case is, special tokens
+        leave = "".join(c for c in map(chr, range(latin.END)) if len(c.lower()) > 1 or ord(c.lower()) >= latin.END)
+        self.odd = re.compile("|".join([f"[^\\x00-{chr(latin.END - 1)}]", f"[{leave}]", *map(re.escape, added)])).search
+
+    def pattern(self):
+        """findall of the tokenizer's pattern over lower-cased Latin text, or None if it works otherwise."""
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        blanks = [s for s in steps if s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " "]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        known = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and blanks and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+        if not known or not splits[0]["invert"] or splits[0]["behavior"] != "Removed" or splits[1]["use_regex"] or splits[1]["add_prefix_space"]:
+            return None
+        plain = latin.plain_pattern(splits[0]["pattern"].get("Regex", "\\"))
+        return re.compile(plain).findall if plain else None
+
+    def unknown(self, pieces: set[str]) -> list[str]:
         new = []
         for p in pieces:
             if p not in self:
@@ -171,22 +200,43 @@ class WordEncoder(TwoGenerations):
                     new.append(p)
                 else:
                     self[p] = known
-        for at in range(0, len(new), 2000):
-            some = [p.decode() for p in new[at : at + 2000]]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            lens = np.array([len(s) for s in some], np.int64)
-            starts = np.concatenate([[0], np.cumsum(lens + 1)])
-            owner = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
-            ends = (np.searchsorted(owner, np.arange(len(some) + 1)) * 4).tolist()
-            packed = np.array(found.ids, "<u4").tobytes()
-            self.update((p, packed[a:b]) for p, a, b in zip(new[at : at + 2000], ends, ends[1:], strict=False))
+        return new
+
+    def encode_single(self, pieces: list[str]) -> list[bytes]:
+        """Each is one pre-token, whose last id alone ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(pieces):
+            return self.encode_pieces(pieces)
+        packed, ends = ids.astype("<u4").tobytes(), [0, *(ends * 4).tolist()]
+        return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in pieces])])
+        owner = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
+        ends = (np.searchsorted(owner, np.arange(len(pieces) + 1)) * 4).tolist()
+        packed = np.array(found.ids, "<u4").tobytes()
+        return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, texts: list) -> list[np.ndarray]:
         self.rotate()
-        found = [t.encode().split() if t else [] for t in texts]
-        self.learn(set().union(*found))
+        cut, single, other = [], set(), set()
+        for t in texts:
+            if not t:
+                cut.append([])
+            elif self.find is not None and not self.odd(t):
+                cut.append(self.find(t.lower()))
+                single.update(cut[-1])
+            else:
+                cut.append([p.decode() for p in t.encode().split()])
+                other.update(cut[-1])
+        for pieces, encode in ((self.unknown(single), self.encode_single), (self.unknown(other - single), self.encode_pieces)):
+            for at in range(0, len(pieces), 2000):
+                some = pieces[at : at + 2000]
+                self.update(zip(some, encode(some), strict=True))
         get = self.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in found]
+        return [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in cut]
 
 
 @functools.lru_cache(maxsize=2)

@@ -61,6 +61,7 @@ def test_bpe_query(spark, sf_dir, tik, docs_of):
 def test_words_equal_the_library():
     own = tokenfiles.WordEncoder(WORD, limit=300)
     texts = odd_texts() + ["".join(chr(c) + "." for c in range(0x20, 0x530))]
+    texts += [f"a{chr(c)}b {chr(c)} 'S{chr(c)}'re1" for c in range(0x260)] + ["they're we'LL x's'm 'd''ve"]
     library = Tokenizer.from_file(WORD)
     for at in range(0, len(texts), 100):
         for text, ids in zip(texts[at : at + 100], own.encode(texts[at : at + 100]), strict=True):
