@@ -21,8 +21,9 @@ def section_sizes(df: DataFrame, column: str, cloud: list[str], width: int, *, i
     first = F.row_number().over(w) == 1
     new = lambda c: F.when(first | (F.lag(c).over(w) != F.col(c)), F.col(idx))
     rows = rows.withColumns({"v_new": new("v"), "d_new": new("d")})
-    # a run's length: to the next run's beginning, or the chunk's end
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    # a run's length: to the next run's beginning, or the chunk's end; running backwards, as a frame that reaches ahead
+    # would be computed anew for each row
+    ahead = Window.partitionBy(*cloud, chunk).orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, -1)
     end = F.max(idx).over(Window.partitionBy(*cloud, chunk)) + 1
     following = lambda c: F.coalesce(F.min(c).over(ahead), end) - F.col(idx)
     rows = rows.withColumns({"v_run": F.when(F.col("v_new").isNotNull(), following("v_new")), "d_run": F.when(F.col("d_new").isNotNull(), following("d_new"))})

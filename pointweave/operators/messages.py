@@ -56,6 +56,6 @@ def with_total(df: DataFrame, topic: str, *aggregates: Column, total: str = "TOT
     return rolled.withColumn(topic, F.when(F.col("__all") == 1, F.lit(total)).otherwise(F.col(topic))).drop("__all", "__topics")
 
 
-def count_windows(df: DataFrame, ordinal: str, size: int = 20) -> Column:
+def count_windows(ordinal: str, size: int = 20) -> Column:
     """The report a message belongs to, by its ordinal from 1 on: the first report is of one message."""
     return F.floor((F.col(ordinal) + size - 2) / size).cast("bigint")
