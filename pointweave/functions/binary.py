@@ -604,8 +604,12 @@ def open_chunk(header: Header, chunk: bytes, n: int) -> np.ndarray:
 
 def decode_blob(raw: bytes, *, magic: bytes | None = None) -> tuple[Header, np.ndarray]:
     header, at = decode_header(raw, magic=magic)
-    parts = [open_chunk(header, chunk, n) for chunk, n in chunks_of(header, raw, at)]
-    return header, np.concatenate(parts) if parts else np.zeros(0, header.dtype())
+    parts = chunks_of(header, raw, at)
+    out, at = np.zeros(sum(n for _, n in parts), header.dtype()), 0  # joining arrays would drop what no field covers
+    for chunk, n in parts:
+        out[at : at + n] = open_chunk(header, chunk, n)
+        at += n
+    return header, out
 
 
 def fingerprint(raw: bytes, seed: int = 0xCBF29CE484222325) -> int:

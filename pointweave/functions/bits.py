@@ -27,8 +27,13 @@ def uvarint_size(n: Column) -> Column:
 
 
 def varint_size(d: Column) -> Column:
-    """Bytes of a signed number: zig-zag and one more, as zero marks a missing value."""
-    return uvarint_size(zigzag(d) + 1)
+    """Bytes of a signed number: zig-zag and one more, as zero marks a missing value. The one isn't added, so as not to
+    overflow."""
+    z = zigzag(d)
+    size = F.when(z < 0, F.lit(10))
+    for k in range(1, 10):
+        size = size.when(z < (1 << 7 * k) - 1, F.lit(k))
+    return size.otherwise(F.lit(10)).cast("bigint")
 
 
 def index_bits(distinct: Column) -> Column:

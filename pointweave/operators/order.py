@@ -38,9 +38,9 @@ def indexed(df: DataFrame, cloud: list[str], order: list[str], *, out: str = "id
     counts = ranged.groupBy(*cloud, part).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*cloud).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn(offset, F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    same = [ranged[c].eqNullSafe(counts[c]) for c in [*cloud, part]]
-    joined = ranged.join(counts, same, "left")
-    joined = joined.select(*[ranged[c] for c in ranged.columns], offset)
+    keys = {c: f"__{out}_key{k}" for k, c in enumerate([*cloud, part])}
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    joined = ranged.join(counts.withColumnsRenamed(keys), same, "left").drop(*keys.values())
     w = Window.partitionBy(*cloud, part).orderBy(*order)
     return joined.withColumn(out, (F.row_number().over(w) - 1 + F.col(offset)).cast("bigint")).drop(part, offset)
 

@@ -106,7 +106,7 @@ def encode(cloud: Cloud) -> bytes:
         w.number("I", 1)
     w.number("B", False)
     w.number("I", cloud.point_step)
-    w.number("I", cloud.point_step * cloud.width)
+    w.number("I", cloud.point_step * cloud.width & 0xFFFFFFFF)
     w.block(cloud.data)
     w.number("B", cloud.is_dense)
     if cloud.format is not None:

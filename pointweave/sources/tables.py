@@ -224,7 +224,7 @@ def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def convert_messages(messages: DataFrame, wanted: str, convert, data: str = "data", schema_name: str = "schema_name") -> DataFrame:
     """``data`` of messages with the schema ``wanted`` by convert(bytes); others go through as they are, in one scan."""
-    own = F.udf(lambda raw: bytes(convert(bytes(raw))), "binary")
+    own = F.udf(lambda raw: None if raw is None else bytes(convert(bytes(raw))), "binary")
     return messages.withColumn(data, F.when(F.col(schema_name) == wanted, own(F.when(F.col(schema_name) == wanted, F.col(data)))).otherwise(F.col(data)))
 
 
