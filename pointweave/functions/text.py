@@ -134,3 +134,16 @@ def renamed(text: str, names: dict[str, str]) -> str:
     if not names:
         return text
     return re.sub("|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)), lambda m: names[m[0]], text)
+
+
+def mib(n: int) -> str:
+    return f"{n / (1 << 20):.2f} MiB"
+
+
+def percent(part: float, whole: float) -> str:
+    return f"{100 * part / whole:.1f} %" if whole else "-"
+
+
+def megabytes_per_second(n: int, nanoseconds: int) -> float:
+    """Of 10^6 bytes; 0 if no time passed."""
+    return n * 1000 / nanoseconds if nanoseconds else 0.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.bits import half_away, is_finite, voxel_key
@@ -55,3 +55,18 @@ def removed_percent(df: DataFrame, kept: DataFrame) -> DataFrame:
     n, k = df.agg(F.count("*").alias("total")), kept.agg(F.count("*").alias("kept"))
     both = n.select("total", F.lit(1).alias("one")).join(k.select("kept", F.lit(1).alias("one")), "one")
     return both.select("total", "kept", F.round(100.0 * (1 - F.col("kept") / F.col("total")), 6).alias("removed_pct"))
+
+
+def fields_as(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The columns that ``wanted`` (name to type) knows, in its order; others are left out, another type is an error."""
+    kinds = dict(df.dtypes)
+    for name, kind in wanted.items():
+        if name in kinds and kinds[name] != kind:
+            raise TypeError(f"{name} is {kinds[name]}, not {kind}")
+    return df.select(*[n for n in wanted if n in kinds])
+
+
+def ranked(df: DataFrame, value: str, prefix: str = "sample") -> DataFrame:
+    """df with ``name``: prefix and the row's place by ascending ``value``, from 0 on. For small reports."""
+    place = F.row_number().over(Window.orderBy(value, *[c for c in df.columns if c != value])) - 1
+    return df.withColumn("name", F.concat(F.lit(prefix), place.cast("string")))

@@ -131,4 +131,6 @@ SELECT chunk, n, mode, CASE mode WHEN 'delta_varint' THEN delta_varint WHEN 'pal
     "q45_nanosecond_times": "SELECT event_id, (epoch_us(ts) * 1000 + event_id % 1000) // 1000000000 AS sec, (epoch_us(ts) * 1000 + event_id % 1000) % 1000000000 AS nsec, epoch_us(ts) AS us FROM events",
     "q47_header_equality": "SELECT len(embedding)::BIGINT AS width, (len(embedding) * 4)::BIGINT AS row_step, count(*)::BIGINT AS n FROM embeddings GROUP BY 1, 2",
     "q48_nan_free_subset": f"WITH {E}, g AS (SELECT event_id, idx, {GAPS} AS v FROM e) SELECT event_id, idx // 100 AS row, idx % 100 AS col FROM g WHERE NOT isnan(v)",
+    "q49_ranked_samples": f"WITH {SIZED}, r AS (" + total("round(sum(out)::DOUBLE / sum(given)::DOUBLE, 6) AS ratio", "sized") + ") SELECT 'sample' || (row_number() OVER (ORDER BY ratio, event_type) - 1) AS name, event_type, ratio FROM r",
+    "q50_typed_fields": "SELECT l_orderkey, l_linenumber FROM lineitem",
 }

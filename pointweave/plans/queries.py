@@ -369,4 +369,16 @@ def q48_nan_free_subset(spark, sf_dir):
     return kept.select("event_id", F.floor(F.col("idx") / 100).cast("bigint").alias("row"), (F.col("idx") % 100).alias("col"))
 
 
+def q49_ranked_samples(spark, sf_dir):
+    """Topics by ascending ratio, named by their place."""
+    ratios = q10_topic_ratio(spark, sf_dir).select("event_type", "ratio")
+    return rows.ranked(ratios, "ratio").select("name", "event_type", "ratio")
+
+
+def q50_typed_fields(spark, sf_dir):
+    """The fields that a type knows, of those that a table has."""
+    wanted = {"l_orderkey": "bigint", "intensity": "float", "l_linenumber": "int"}
+    return rows.fields_as(table(spark, sf_dir, "lineitem"), wanted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

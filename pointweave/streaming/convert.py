@@ -55,3 +55,14 @@ def start(messages: DataFrame, path: str, checkpoint: str, *, available_now: boo
     """Append a converted stream to Parquet files; files of a batch that is written again don't count twice."""
     writer = messages.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_batches(messages: DataFrame, current: Callable[[], Callable[[bytes], bytes]], path: str, checkpoint: str, *, available_now: bool = True):
+    """As start, with ``current()`` asked for the function anew for each batch, so that a resolution can change while the
+    stream runs. A batch is one folder, written over if it is tried again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        convert(batch, current()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -128,3 +128,10 @@ def test_plans_stay_in_generated_code(spark, sf_dir):
 
 def test_fingerprint_depends_on_order():
     assert fingerprint(b"ab") != fingerprint(b"ba")
+
+
+def test_fields_as(spark):
+    df = spark.createDataFrame([(1, 2.0, "x")], "a int, b double, c string")
+    assert rows.fields_as(df, {"b": "double", "d": "int", "a": "int"}).columns == ["b", "a"]
+    with pytest.raises(TypeError, match="b is double"):
+        rows.fields_as(df, {"b": "float"})

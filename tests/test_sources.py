@@ -288,3 +288,26 @@ def test_stream(spark, tmp_path):
     found = {(r["topic"], r["report"]): r["messages"] for r in spark.table("reports").collect()}
     assert found == {("a", 0): 1, ("a", 1): 20, ("b", 0): 1}
     assert convert.sink_name("/t") == "/t/compressed" and convert.sink_name("/t", False) == "/t/decompressed"
+
+
+def test_resolution_changes_between_batches(spark, tmp_path):
+    from pointweave.streaming import convert
+
+    given, raw = tmp_path / "in", cdr.encode(cloud(400))
+    for part in range(2):
+        spark.createDataFrame([(part, raw)], "seq long, data binary").coalesce(1).write.mode("append").parquet(str(given))
+    resolutions = iter([0.001, 0.1])
+
+    def current():
+        own = next(resolutions)
+        return lambda raw: cdr.to_compressed(raw, planner.apply_profile(cdr.header_of(cdr.decode(raw)), {}, own))
+
+    source = spark.readStream.schema("seq long, data binary").option("maxFilesPerTrigger", 1).parquet(str(given))
+    convert.start_batches(source, current, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    sizes = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("batch").select("out_bytes").collect()]
+    assert len(sizes) == 2 and sizes[1] < sizes[0]
+
+
+def test_formats():
+    assert text.mib(3 << 20) == "3.00 MiB" and text.percent(1, 4) == "25.0 %" and text.percent(1, 0) == "-"
+    assert text.megabytes_per_second(5_000_000, 10**9) == 5.0 and text.megabytes_per_second(1, 0) == 0.0
