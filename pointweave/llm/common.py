@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of tables that this driver has written and not dropped.
+WRITTEN: set[str] = set()
 #: Rows of text that are Python objects at a time.
 SLICE_ROWS = 512
 
@@ -41,11 +43,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
+    WRITTEN.add(path)
     return out
 
 
 def drop_written(df: DataFrame) -> None:
     delete(df.sparkSession, df.written_path)
+    WRITTEN.discard(df.written_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that ``written`` has left; results that read them must have been used."""
+    for path in list(WRITTEN):
+        delete(spark, path)
+        WRITTEN.discard(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
