@@ -9,7 +9,8 @@ code points that at least ``min_docs`` documents hold lose all their lines, exce
    (levels of bit arrays; the rank of the set bit is the slot) that indexes arrays of 64-bit fingerprints, counts and
    largest ids. Hashes below the threshold can never drop a line: probing rejects them by their fingerprint.
 3. Documents probe the arrays. Up to ``broadcast_bytes`` (measured, not guessed) the shards are broadcast; beyond that
-   the documents' hashes go to the shards, salted, and only the hits come back to their documents.
+   the documents' hashes go to the shards, salted (the more, the more documents share a line of the shard), and only the
+   hits come back to their documents.
 
 Defined results: each input row is one document, so repeated rows count as often as they occur, and all rows that have
 the largest id keep their lines. A null id is smaller than every other. A null or empty text is one empty line. The
@@ -112,7 +113,7 @@ class PerfectHash:
         return cls(*(np.frombuffer(row[k], kind) for k, kind in kinds.items()))
 
 
-SHARD = "shard int, words binary, ends binary, fingerprint binary, `count` binary, last binary"
+SHARD = "shard int, most bigint, words binary, ends binary, fingerprint binary, `count` binary, last binary"
 
 
 def shard_of(hi: np.ndarray, n_shards: int) -> np.ndarray:
@@ -146,7 +147,8 @@ def emit(min_chars: int):
 def build_shard(key: tuple, table: pa.Table) -> pa.Table:
     hi, lo = (table.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
     row = PerfectHash.build(hi, lo, table.column("n").to_numpy(), table.column("last").to_numpy()).row()
-    arrays = {"shard": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in row.items()}
+    most = max(table.column("n").to_pylist())
+    arrays = {"shard": pa.array([key[0].as_py()], pa.int32()), "most": pa.array([most], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in row.items()}
     return pa.table(arrays)
 
 
@@ -207,7 +209,7 @@ def judge(texts: list, verdict, min_chars: int) -> list[dict]:
 RESULT_ARROW = pa.struct([("kept", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "lines", *, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 65536, broadcast_bytes: int = 48 << 20, salts: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "lines", *, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 65536, broadcast_bytes: int = 48 << 20, salts: int = 16, salt_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with a struct column ``out``: kept (the text without its dropped lines), n_lines, n_dropped."""
     spark = docs.sparkSession
     index = build_index(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs, shard_keys=shard_keys)
@@ -242,8 +244,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_shards = index.n_shards
     probes = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     probes = probes.mapInArrow(emit(min_chars), "hi bigint, lo bigint, id bigint")
-    probes = probes.withColumn("shard", shard_column(n_shards)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    index_rows = index.table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # a shard with a line that very many documents share is dealt out further, by that line's count
+    index_rows = index.table.withColumn("salts", F.greatest(F.lit(salts), F.ceil(F.col("most") / salt_rows)).cast("int"))
+    hot = index_rows.where(F.col("salts") > salts).select("shard", "salts")
+    probes = probes.withColumn("shard", shard_column(n_shards)).join(F.broadcast(hot) if hot.limit(100_001).count() <= 100_000 else hot, "shard", "left")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(salts))).cast("int")).drop("salts")
+    index_rows = index_rows.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
 
     def route(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         hits = left.slice(0, 0)

@@ -41,7 +41,7 @@ def rows_of(n=60):
 @pytest.mark.parametrize("shard_keys", [65536, 4])
 def test_against_brute_force(docs_of, broadcast_bytes, shard_keys):
     rows = rows_of()
-    found = linededup.dedup_lines(docs_of(rows), min_chars=20, min_docs=5, broadcast_bytes=broadcast_bytes, shard_keys=shard_keys, salts=3)
+    found = linededup.dedup_lines(docs_of(rows), min_chars=20, min_docs=5, broadcast_bytes=broadcast_bytes, shard_keys=shard_keys, salts=3, salt_rows=2)
     got = [(r["doc_id"], r["lines"]["kept"], r["lines"]["n_lines"], r["lines"]["n_dropped"]) for r in found.collect()]
     assert sorted(got, key=str) == sorted(brute(rows, 20, 5), key=str)
     assert any(r[3] for r in got) and {"words", "mark"} <= set(found.columns)
