@@ -16,7 +16,8 @@ cut into one more piece than it can differ by bits: one piece is equal. For d =
 
 Distinct fingerprints only are indexed (copies share one), sorted by key with spill, and verified while they stream by.
 Within a key, a search from fingerprint to fingerprint that meets each one once emits links that span the group; not all
-pairs. A key's fingerprints take 8 bytes each, and only distinct ones count, however many documents share them.
+pairs. A key's fingerprints take 8 bytes each, and only distinct ones count, however many documents share them; a key with
+more than a million is dealt out in pairs of blocks.
 
 Defined results: a text without words, null or empty has fingerprint zero and links like any other. Repeated rows and
 rows with equal ids get a row each. A null id is never the smallest; a group of null ids only has a null component. Only
@@ -139,41 +140,80 @@ def expand(max_bits: int):
     return run
 
 
-def verify(max_bits: int):
-    """Rows sorted by (key, fp) to links. The last run of a batch waits for the next batch."""
+def verify(max_bits: int, run_rows: int):
+    """Rows sorted by (key, fp) to links (a, b, 0). The last run of a batch waits for the next batch. A run of more than
+    run_rows fingerprints isn't held: it gives one row (key, 0, how many)."""
+
+    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a, b = link_runs(key, fp, max_bits)
+        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.zeros(len(a), np.int64))], ["a", "b", "n"])
+
+    def joined(held: list) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last run so far
+        rows, at = 0, None  # its length and key; held is empty once it is too long
 
-        def links(key, fp):
-            a, b = link_runs(key, fp, max_bits)
-            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        def closed() -> Iterator[pa.RecordBatch]:
+            if rows > run_rows:
+                yield pa.record_batch([pa.array([at], pa.int64()), pa.array([0], pa.int64()), pa.array([rows], pa.int64())], ["a", "b", "n"])
+            elif rows > 1:
+                yield links(*joined(held))
 
         for batch in batches:
             key, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(key):
                 continue
-            last = np.searchsorted(key, key[-1])  # where the last run begins
-            if last == 0 and (not held or held[-1][0][-1] == key[0]):
-                held.append((key, fp))
-                continue
-            held.append((key[:last], fp[:last]))
-            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(k) > 1:
-                yield links(k, f)
-            held = [(key[last:], fp[last:])]
-        if held:
-            k, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(k) > 1:
-                yield links(k, f)
+            first = np.searchsorted(key, key[0], side="right") if at == key[0] else 0  # these go on with the last run
+            if first:
+                rows += int(first)
+                held = [] if rows > run_rows else [*held, (key[:first], fp[:first])]
+                key, fp = key[first:], fp[first:]
+                if not len(key):
+                    continue
+            yield from closed()
+            last = np.searchsorted(key, key[-1])  # where the new last run begins
+            if last > 1:
+                starts = np.flatnonzero(np.concatenate([[True], key[1:last] != key[: last - 1]]))
+                sizes = np.diff(np.append(starts, last))
+                for k in starts[sizes > run_rows]:
+                    yield pa.record_batch([pa.array([key[k]], pa.int64()), pa.array([0], pa.int64()), pa.array(sizes[starts == k])], ["a", "b", "n"])
+                small = np.repeat(sizes <= run_rows, sizes)
+                if small.sum() > 1:
+                    yield links(key[:last][small], fp[:last][small])
+            at, rows = key[-1], len(key) - int(last)
+            held = [] if rows > run_rows else [(key[last:].copy(), fp[last:].copy())]
+        yield from closed()
+
     return run
 
 
-def near_groups(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
-    """distinct: one long column fp without repeats. Gives (node, root) of all that have a link."""
+LINKS = "a bigint, b bigint, n bigint"
+
+
+def near_links(distinct: DataFrame, max_bits: int, run_rows: int) -> DataFrame:
+    """Links that span the groups. A key with more than run_rows fingerprints is dealt out in blocks, each pair of blocks to
+    a run of its own, so that no task holds more than run_rows or so of them."""
     keyed = distinct.select("fp").mapInArrow(expand(max_bits), "key bigint, fp bigint")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return components(dealt.mapInArrow(verify(max_bits), "a bigint, b bigint"))
+    found = written(dealt.mapInArrow(verify(max_bits, run_rows), LINKS), "nearlinks")
+    links = found.where("n = 0").select("a", "b")
+    large = found.where("n > 0").select(F.col("a").alias("key"), F.ceil(F.col("n") * 2 / run_rows).cast("int").alias("blocks"))
+    n_large = large.limit(100_001).count()
+    if not n_large:
+        return links
+    rows = keyed.join(F.broadcast(large) if n_large <= 100_000 else large, "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")
+    pairs = rows.select(pair, "fp").repartition("key").sortWithinPartitions("key", "fp")
+    more = pairs.mapInArrow(verify(max_bits, 1 << 62), LINKS)
+    return links.unionByName(more.select("a", "b"))
+
+
+def near_groups(distinct: DataFrame, max_bits: int = 4, run_rows: int = 1 << 20) -> DataFrame:
+    """distinct: one long column fp without repeats. Gives (node, root) of all that have a link."""
+    return components(near_links(distinct, max_bits, run_rows))
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +239,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, max_bits: int = 4) -> DataFrame:
     """One document of each group with all its columns: the smallest id; of equal or null ids, one by the text's hash."""
     marks, rooted = marked(docs, id_col, text_col, words, max_bits)
-    grouped = written(marks.join(rooted.select("fp", "root"), "fp").select("id", "th", "root"), "simhashed")
+    rooted = written(rooted.select("fp", "root"), "simhashroots")  # a plain side, so that AQE can split a hot fingerprint
+    grouped = written(marks.join(rooted, "fp").select("id", "th", "root"), "simhashed")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
     gone = grouped.join(first, "root").where(~kept).select("id", "th").distinct()

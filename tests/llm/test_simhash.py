@@ -135,3 +135,36 @@ def test_query(spark, sf_dir):
     fps = [brute_fingerprint(t) for _, t in rows]
     want = sorted((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, brute_components(rows, fps), strict=True))
     assert sorted(tuple(r) for r in queries.op2_simhash(spark, sf_dir).collect()) == want
+
+
+@pytest.mark.parametrize("run_rows", [2, 7, 40, 1 << 20])
+def test_large_keys_in_blocks(spark, run_rows):
+    """A dense ball of fingerprints, some chains, and far ones that share a key."""
+    rng = np.random.default_rng(8)
+    centre = int(rng.integers(0, 2**62))
+    fps = {centre ^ sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 10), replace=False)) for _ in range(250)}
+    fps |= {centre ^ (0x3FF << 40) ^ (k << 30) for k in range(40)} | {int(x) for x in rng.integers(0, 2**62, 100)}
+    fps = sorted(fps)
+    want = brute_components(list(enumerate(fps)), fps)
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
+    got = {r["node"]: r["root"] for r in simhash.near_groups(distinct, 4, run_rows).collect()}
+    pairs = {(got.get(f, f), w) for f, w in zip(fps, want, strict=True)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(set(want))
+
+
+def test_runs_over_batches():
+    """Runs that end in any batch, one longer than what is held."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.integers(0, 30, 600))
+    key[100:300] = key[100]
+    fp = np.arange(600).astype(np.uint64)
+    whole = simhash.link_runs(key, fp, 4)
+    for size in (1, 7, 64, 600):
+        batches = [pa.record_batch([pa.array(key[a : a + size]), pa.array(fp[a : a + size].view(np.int64))], ["key", "fp"]) for a in range(0, 600, size)]
+        rows = [tuple(r.values()) for b in simhash.verify(4, 1000)(iter(batches)) for r in b.to_pylist()]
+        assert {r[:2] for r in rows} == set(zip(whole[0].tolist(), whole[1].tolist(), strict=True))
+        rows = [tuple(r.values()) for b in simhash.verify(4, 50)(iter(batches)) for r in b.to_pylist()]
+        counts = dict(zip(*map(np.ndarray.tolist, np.unique(key, return_counts=True)), strict=True))
+        assert {r[0]: r[2] for r in rows if r[2]} == {k: n for k, n in counts.items() if n > 50}
