@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 32 * 1024
 #: Rows that are numbered by one window.
-RANGE_ROWS = 1_000_000
+RANGE_ROWS = 250_000
 
 
 def range_of(df: DataFrame, column: str, n: int) -> Column | None:

@@ -26,9 +26,9 @@ def convert(messages: DataFrame, function: Callable[[bytes], bytes], data: str =
     return made.withColumn("out_bytes", F.length(data).cast("long"))
 
 
-def reports(messages: DataFrame, topic: str, order: str, raw: str | Column = "raw_bytes", out: str | Column = "out_bytes", every: int = 20) -> DataFrame:
-    """A stream's reports: topic, report, messages, raw_bytes, out_bytes, ratio. Sums begin anew with each report; the first
-    covers one message, later ones ``every``. State per topic: four numbers. Messages of a batch are taken by ``order``."""
+def reports(messages: DataFrame, topic: str, order: str, raw: str | Column = "raw_bytes", out: str | Column = "out_bytes", every: int = 20, first_alone: bool = True) -> DataFrame:
+    """A stream's reports: topic, report, messages, raw_bytes, out_bytes, ratio. Sums begin anew with each report; each
+    covers ``every`` messages, but the first only one if ``first_alone``. State per topic: four numbers. Messages of a batch are taken by ``order``."""
     kinds = "topic string, report long, messages long, raw_bytes long, out_bytes long, ratio double"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,7 +36,7 @@ def reports(messages: DataFrame, topic: str, order: str, raw: str | Column = "ra
         rows, held = [], pd.concat(list(batches)).sort_values("order")
         for a, b in zip(held["raw"], held["out"], strict=True):
             n, raw_sum, out_sum = n + 1, raw_sum + int(a), out_sum + int(b)
-            if seen % every == 0:
+            if (seen + 1 - first_alone) % every == 0:
                 rows.append((key[0], seen // every, n, raw_sum, out_sum, out_sum / raw_sum if raw_sum else None))
                 n = raw_sum = out_sum = 0
             seen += 1

@@ -287,6 +287,9 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     found = {(r["topic"], r["report"]): r["messages"] for r in spark.table("reports").collect()}
     assert found == {("a", 0): 1, ("a", 1): 20, ("b", 0): 1}
+    query = convert.reports(again, "topic", "seq", every=10, first_alone=False).writeStream.format("memory").queryName("tens").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r["topic"], r["report"], r["messages"]) for r in spark.table("tens").collect()) == [("a", 0, 10), ("a", 1, 10), ("a", 2, 10), ("b", 0, 10)]
     assert convert.sink_name("/t") == "/t/compressed" and convert.sink_name("/t", False) == "/t/decompressed"
 
 
