@@ -59,6 +59,11 @@ def clean(spark: SparkSession) -> None:
         WRITTEN.discard(path)
 
 
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df marked for broadcast if it is counted to have so many rows at most. For narrow rows; give a written table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or the first variant of it that no column of ``df`` has (in any case)."""
     taken, n = {c.lower() for c in df.columns}, 0

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import fresh, written
+from pointweave.llm.common import few, fresh, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -187,7 +187,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), words_of(text).alias("words"))
     items, lengths = marked_items(benchmark, item_id, item_text, window, k)
     found = spans(rows, written(items, "benchmark"), lengths, window, k, broadcast_rows)
-    found = hits_of(found).select("id", "th").distinct()
+    found = few(written(hits_of(found).select("id", "th").distinct(), "hitdocs"))
     own, owner = fresh(docs, "text_hash"), fresh(docs, "text_owner")
     found = found.select(F.col("id").alias(owner), F.col("th").alias(f"{owner}_hash"))
     same = F.col(id_col).eqNullSafe(F.col(owner)) & (F.col(own) == F.col(f"{owner}_hash"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import components, fresh, mix64, slices, written
+from pointweave.llm.common import components, few, fresh, mix64, slices, written
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
@@ -239,14 +239,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, max_bits: int = 4) -> DataFrame:
     """One document of each group with all its columns: the smallest id; of equal or null ids, one by the text's hash."""
     marks, rooted = marked(docs, id_col, text_col, words, max_bits)
-    rooted = written(rooted.select("fp", "root"), "simhashroots")  # a plain side, so that AQE can split a hot fingerprint
+    # plain sides of the joins, so that AQE can split a hot fingerprint or group
+    rooted = written(rooted.select("fp", "root"), "simhashroots")
     grouped = written(marks.join(rooted, "fp").select("id", "th", "root"), "simhashed")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
+    first = written(first, "simhashfirst")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-    gone = grouped.join(first, "root").where(~kept).select("id", "th").distinct()
+    gone = written(grouped.join(first, "root").where(~kept).select("id", "th").distinct(), "simhashgone")
     own, owner = fresh(docs, "text_hash"), fresh(docs, "text_owner")
     hashed = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
-    gone = gone.select(F.col("id").alias(owner), F.col("th").alias(f"{owner}_hash"))
+    gone = few(gone).select(F.col("id").alias(owner), F.col("th").alias(f"{owner}_hash"))
     left = hashed.join(gone, F.col(id_col).eqNullSafe(F.col(owner)) & (F.col(own) == F.col(f"{owner}_hash")), "left_anti")
     if grouped.groupBy("id", "th").count().where("count > 1").head(1):  # repeated rows
         left = left.dropDuplicates([id_col, own])
