@@ -31,6 +31,8 @@ from pointweave.llm.common import TwoGenerations, slices
 
 NONE = np.int64(2**62)
 SIZES, ROWS = (8, 16, 32, 64), 8192
+#: The size of a pre-token's row, by its bytes.
+SIZE_OF = [next(s for s in SIZES if n <= s) for n in range(SIZES[-1] + 1)]
 
 
 class Ranks:
@@ -49,15 +51,36 @@ class Ranks:
                 a, b = self.rank.get(token[:k]), self.rank.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a << self.shift | b] = rank
-        keys = np.array(sorted(pairs), np.int64)
-        self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
+        self.place_pairs(pairs)
+
+    def place_pairs(self, pairs: dict[int, int]) -> None:
+        """A hash table at most a quarter full, so that most pairs, and most that are none, take one look."""
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        mask = (1 << self.bits) - 1
+        self.pair_keys, self.pair_ranks = np.full(mask + 1, -1, np.int64), np.full(mask + 1, NONE, np.int64)
+        keys = np.array(list(pairs), np.int64)
+        for key, rank, at in zip(keys.tolist(), pairs.values(), self.slot(keys).tolist(), strict=True):
+            while self.pair_keys[at] != -1:
+                at = at + 1 & mask
+            self.pair_keys[at], self.pair_ranks[at] = key, rank
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens; NONE where they make no token."""
         keys = a << self.shift | b
-        at = np.searchsorted(self.pair_keys, keys)
-        at[at == len(self.pair_keys)] = 0
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
+        at = self.slot(keys)
+        held = self.pair_keys[at]
+        out = np.where(held == keys, self.pair_ranks[at], NONE)
+        left = np.flatnonzero((held != keys) & (held != -1))
+        while len(left):  # another pair is in the slot: look at the next one
+            at[left] = at[left] + 1 & len(self.pair_keys) - 1
+            held = self.pair_keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.pair_ranks[at[left[hit]]]
+            left = left[~hit & (held != -1)]
+        return out
 
     # one pre-token
 
@@ -159,7 +182,7 @@ class Ranks:
             elif len(piece) > SIZES[-1]:
                 out[k] = np.array(self.merge(piece), "<i4").tobytes()
             else:
-                by_size[next(s for s in SIZES if len(piece) <= s)].append(k)
+                by_size[SIZE_OF[len(piece)]].append(k)
         for size, ks in by_size.items():
             for at in range(0, len(ks), ROWS):
                 some = ks[at : at + ROWS]
@@ -171,7 +194,7 @@ class Ranks:
 class Encoder(TwoGenerations):
     """Pre-token to packed ids."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 250_000):
         super().__init__(limit)
         self.ranks, self.find_any = Ranks(path), regex.compile(pattern).findall
         plain = latin.plain_pattern(pattern)
@@ -226,11 +249,13 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def bpe_encode(texts: pa.Array) -> pa.Array:
-        own = encoder(path, pattern)
-        ids = [x for some in batched(texts) for x in own.encode(some)]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+        own, packed, ends = encoder(path, pattern), bytearray(), [0]
+        for some in batched(texts):
+            for ids in own.encode(some):
+                packed += ids.data
+                ends.append(len(packed) // 4)
+        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(packed)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     return bpe_encode(text.cast("string"))
 
@@ -240,11 +265,13 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def bpe_decode(ids: pa.Array) -> pa.Array:
-        own, out = encoder(path, pattern), []
+        own, raw, at = encoder(path, pattern), bytearray(), [0]
         values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
         null = ids.is_null().to_numpy(zero_copy_only=False)
         for a, b, none in zip(ends, ends[1:], null, strict=False):
-            out.append(b"" if none else own.decode(values[a:b].tolist()))
-        return pa.array(out, pa.binary())
+            if not none:
+                raw += own.decode(values[a:b].tolist())
+            at.append(len(raw))
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.array(at, pa.int32()).buffers()[1], pa.py_buffer(raw)])
 
     return bpe_decode(ids)
