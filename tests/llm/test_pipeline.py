@@ -1,7 +1,6 @@
 import hashlib
 
 import public_tokenizers as P
-import tiktoken  # noqa: F401
 
 import corpus_pipeline
 from pointweave.llm import bpe, rulelists
