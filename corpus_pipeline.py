@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, decontam, linededup, rulelists, simhash
+from pointweave.llm import bpe, decontam, linededup, nearcopies, rulelists
 from pointweave.llm.common import fresh, written
 
 
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    return simhash.keep_one(docs).select(docs.columns)
+    """One document of each group of near copies (similarity of five-word shingles 0.8 or more) stays: the smallest id."""
+    return nearcopies.keep_one(docs).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,290 @@
+"""Near copies by the Jaccard similarity of word shingles, found whole by prefix filtering.
+
+Two texts link if their sets of distinct shingles have a Jaccard similarity of 4/5 or more; the links' connected components
+are the groups. At that similarity 64-bit SimHash fingerprints differ by about 10 bits and by 20 at times, at which a search
+by fingerprints either loses links or meets most unrelated texts; so shingles themselves are the keys.
+
+Search: all shingles have one order. Texts of similarity 4/5 share at least 4/5 of the larger one's n shingles, so the first
+shingle that both have is among the first n - ceil(4n/5) + 1 of each: these are a text's keys. Sizes and the places of a key
+rule out most pairs that meet; the others are compared by their whole sets. The order has frequent shingles last (counted
+in a sample of the texts; any order gives the same links), so passages that many texts hold are seldom keys.
+
+Texts with equal sets are one class, and classes are searched. Most keys have one class and go first. In a key with many,
+neighbours by size are compared first, and of the others only pairs of different components by then. Sets are compared in
+blocks of classes, each pair of blocks by a task of its own, and each set goes only where a pair needs it.
+
+Defined results: words are as in ``simhash``; a text with fewer words than a shingle is one shingle, and texts without words
+are equal. Repeated rows and null ids are as in ``simhash.keep_one``.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pointweave.llm.common import components, few, mix64, slices, written
+from pointweave.llm.simhash import keep_first
+
+#: One text of so many is in the sample; a shingle that so many of them have is frequent; at most so many are told apart.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8, 2, 1_000_000
+#: Classes of a key from which neighbours are compared first, and how near.
+LONG, NEAR = 32, 3
+#: Bytes of sets in a block, the least number of blocks, and pairs or shingles that are compared at a time.
+BLOCK_BYTES, BLOCKS, AT_ONCE = 8 << 20, 8, 1 << 20
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    tokens = (text or "").encode().lower().split()  # bytes: A-Z and ASCII blanks only
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    n = max(1, len(tokens) - words + 1)
+    found = np.zeros(n, np.uint64)
+    for j in range(min(words, len(tokens))):
+        found = mix64(found ^ hashed[j : j + n])
+    return np.unique(found)
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A set's keys: the first of its shingles, frequent ones last."""
+    if frequent.size:
+        at = np.minimum(np.searchsorted(frequent, found), frequent.size - 1)
+        late = frequent[at] == found
+        found = np.concatenate([found[~late], found[late]])
+    n = len(found)
+    return found[: n - -(-4 * n // 5) + 1]
+
+
+def frequent_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """texts: th, text. Sorted hashes of the shingles that several different texts of the sample have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                found = np.concatenate([shingles(t, words) for t in part])
+                yield pa.record_batch([pa.array(found.view(np.int64))], ["key"])
+
+    sample = texts.where(F.pmod("th", F.lit(SAMPLE)) == 0).groupBy("th").agg(F.first("text").alias("text"))
+    found = sample.select("text").mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("texts"))
+    found = written(found.where(F.col("texts") >= FREQUENT), "nearfrequent")
+    least, total = None, 0  # the least count from which on they aren't too many
+    for texts_of, n in sorted(map(tuple, found.groupBy("texts").count().collect()), reverse=True):
+        total += n
+        if total > MOST_FREQUENT:
+            break
+        least = texts_of
+    if least is None:
+        return np.zeros(0, np.uint64)
+    keys = found.where(F.col("texts") >= least).select("key").toArrow()
+    return np.sort(keys.column(0).to_numpy().view(np.uint64))
+
+
+MARK = "struct<sh:bigint,n:int,keys:array<bigint>>"
+
+
+def marks_of(frequent: np.ndarray, words: int):
+    """A column function: text to its set's hash and size, and its keys."""
+
+    @F.arrow_udf(MARK)
+    def mark(texts: pa.Array) -> pa.Array:
+        sets, sizes, keys = [], [], []
+        for part in slices(texts):
+            for text in part:
+                found = shingles(text, words)
+                sets.append(xxhash.xxh64_intdigest(found.tobytes()))
+                sizes.append(len(found))
+                keys.append(prefix(found, frequent))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["sh", "n", "keys"])
+
+    return mark
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key (the first column), those whose key another row has."""
+    held, met = None, False  # the last row, and whether the one before it has its key
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        same = np.concatenate([[met], key[1:] == key[:-1], [False]])
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array((same[1:] | same[:-1])[:-1]))
+        held, met = batch.slice(batch.num_rows - 1), bool(same[-2])
+    if held is not None and met:
+        yield held
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by key (the first), cut between keys only."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if held and (last or held[-1][0][-1] != cols[0][0]):
+            yield [np.concatenate(c) for c in zip(*held, [x[:last] for x in cols], strict=True)]
+            held = []
+        elif last:
+            yield [c[:last] for c in cols]
+        held.append([c[last:].copy() for c in cols])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def possible(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """x, y: key, set, size, place, root. Whether sizes and places let the pairs link, if the key is the first shared one."""
+    n, m = x[2].astype(np.int64), y[2].astype(np.int64)
+    rest = np.minimum(n - x[3], m - y[3])
+    return (x[4] != y[4]) & (4 * np.maximum(n, m) <= 5 * np.minimum(n, m)) & (9 * rest >= 4 * (n + m))
+
+
+def pairs_of(near: bool):
+    """Rows (key, set, size, place, root), sorted by key and size, to pairs a < b: with near, neighbours in long runs;
+    else all pairs with different roots."""
+
+    def record(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def neighbours(cols: list[np.ndarray], distances: int) -> Iterator[pa.RecordBatch]:
+        for d in range(1, distances + 1):
+            x, y = [c[:-d] for c in cols], [c[d:] for c in cols]
+            same = x[0] == y[0]
+            if not same.any():
+                break
+            hit = np.flatnonzero(same)
+            hit = hit[possible([c[hit] for c in x], [c[hit] for c in y])]
+            yield record(x[1][hit], y[1][hit])
+
+    def each(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """One long run: each with those behind it that aren't too large."""
+        held, rows = [], 0
+        ends = np.searchsorted(cols[2], 5 * cols[2].astype(np.int64) // 4, side="right")
+        for i in range(len(cols[0]) - 1):
+            y = [c[i + 1 : ends[i]] for c in cols]
+            hit = y[1][possible([c[i : i + 1] for c in cols], y)]
+            held.append((np.full(hit.size, cols[1][i]), hit))
+            rows += hit.size
+            if rows > AT_ONCE:
+                yield record(*map(np.concatenate, zip(*held, strict=True)))
+                held, rows = [], 0
+        if rows:
+            yield record(*map(np.concatenate, zip(*held, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in whole_runs(batches):
+            starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            sizes = np.diff(np.append(starts, len(cols[0])))
+            long = np.repeat(sizes > LONG, sizes)
+            if near:
+                yield from neighbours([c[long] for c in cols], NEAR)
+                continue
+            yield from neighbours([c[~long] for c in cols], LONG)
+            for at, n in zip(starts[sizes > LONG], sizes[sizes > LONG], strict=True):
+                if (cols[4][at : at + n] != cols[4][at]).any():
+                    yield from each([c[at : at + n] for c in cols])
+
+    return run
+
+
+def in_runs(rows: DataFrame, near: bool) -> DataFrame:
+    """rows: key, sh, n, place, root. Distinct pairs (a, b) that may link."""
+    dealt = rows.select("key", "sh", "n", "place", "root").repartition("key").sortWithinPartitions("key", "n", "sh")
+    return dealt.mapInArrow(pairs_of(near), "a bigint, b bigint").distinct()
+
+
+def sets_of(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1)):
+                found = [shingles(t, words).tobytes() for t in part]
+                yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array(found, pa.binary())], ["sh", "found"])
+                at += len(part)
+
+    return run
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block pair, a, b, set of a), sorted, a block pair's sets (null b) before its pairs, to the pairs that link."""
+    at, sets = None, {}
+    for batch in batches:
+        blocks, a, b = (c.to_pylist() for c in batch.columns[:3])
+        found, ends, k = batch.column(3), len(a), 0
+        links: list[tuple[int, int]] = []
+        while k < ends:
+            if blocks[k] != at:
+                at, sets = blocks[k], {}
+            if b[k] is None:
+                sets[a[k]] = np.frombuffer(found[k].as_py(), np.uint64)
+                k += 1
+                continue
+            own, others, n = sets[a[k]], [], 0
+            first = k
+            while k < ends and blocks[k] == at and b[k] is not None and a[k] == a[first] and n < AT_ONCE:
+                others.append(sets[b[k]])
+                n += len(others[-1])
+                k += 1
+            flat = np.concatenate(others)
+            equal = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            sizes = np.array([len(x) for x in others])
+            both = np.add.reduceat(equal, np.cumsum(sizes) - sizes, dtype=np.int64)
+            links += [(a[first], b[first + j]) for j in np.flatnonzero(9 * both >= 4 * (len(own) + sizes))]
+        yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a written table) whose sets have the similarity."""
+    wanted = pairs.select(F.col("a").alias("sh")).unionByName(pairs.select(F.col("b").alias("sh"))).distinct()
+    wanted = few(written(classes.select("sh", "th").join(wanted, "sh"), "nearwanted"))
+    own = texts.join(wanted, "th").groupBy("sh").agg(F.first("text").alias("text"))
+    sets = written(own.mapInArrow(sets_of(words), "sh bigint, found binary"), "nearsets")
+    total = sets.agg(F.sum(F.octet_length("found"))).first()[0] or 0
+    n = max(BLOCKS, math.ceil(total / BLOCK_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
+    dealt = pairs.withColumn("blocks", F.least(block("a"), block("b")) * n + F.greatest(block("a"), block("b")))
+    needed = dealt.select("blocks", F.col("a").alias("sh")).unionByName(dealt.select("blocks", F.col("b").alias("sh"))).distinct()
+    held = needed.join(sets, "sh").select("blocks", F.col("sh").alias("a"), F.lit(None).cast("bigint").alias("b"), "found")
+    rows = held.unionByName(dealt.withColumn("found", F.lit(None).cast("binary")).select("blocks", "a", "b", "found"))
+    # sets first: their b is null, pairs by a
+    ordered = rows.repartition("blocks").sortWithinPartitions("blocks", F.col("b").isNotNull(), "a")
+    return written(ordered.mapInArrow(compared, "a bigint, b bigint"), "nearlinks")
+
+
+def near_groups(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """classes: sh, th, n, keys. Gives (node, root) of all classes that have a link."""
+    keyed = classes.select(F.posexplode("keys").alias("place", "key"), "sh", "n").select("key", "sh", "n", "place")
+    runs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, keyed.schema)
+    runs = written(runs, "nearruns")
+    first = written(in_runs(runs.withColumn("root", F.col("sh")), True), "nearpairs")
+    links = None
+    if first.head(1):
+        links = confirmed(first, classes, texts, words)
+        groups = written(components(links), "neargroups")
+        runs = runs.join(few(groups), F.col("sh") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sh"))
+    else:
+        runs = runs.withColumn("root", F.col("sh"))
+    second = confirmed(written(in_runs(runs, False), "nearpairs"), classes, texts, words)
+    return components(second if links is None else links.unionByName(second))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5) -> DataFrame:
+    """One document of each group with all its columns: the smallest id; of equal or null ids, one by the text's hash."""
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
+    mark = marks_of(frequent_shingles(texts, words), words)(text).alias("mark")
+    marks = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), mark).select("id", "th", "mark.*")
+    marks = written(marks, "nearmarks")
+    classes = written(marks.groupBy("sh").agg(F.first(F.struct("th", "n", "keys")).alias("one")).select("sh", "one.*"), "nearclasses")
+    groups = near_groups(classes, texts, words)
+    rooted = classes.select("sh").join(groups, F.col("sh") == F.col("node"), "left").select("sh", F.coalesce("root", "sh").alias("root"))
+    return keep_first(docs, marks.select("id", "th", "sh"), rooted, "sh", id_col, text_col)

@@ -239,9 +239,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, max_bits: int = 4) -> DataFrame:
     """One document of each group with all its columns: the smallest id; of equal or null ids, one by the text's hash."""
     marks, rooted = marked(docs, id_col, text_col, words, max_bits)
-    # plain sides of the joins, so that AQE can split a hot fingerprint or group
-    rooted = written(rooted.select("fp", "root"), "simhashroots")
-    grouped = written(marks.join(rooted, "fp").select("id", "th", "root"), "simhashed")
+    return keep_first(docs, marks, rooted.select("fp", "root"), "fp", id_col, text_col)
+
+
+def keep_first(docs: DataFrame, marks: DataFrame, rooted: DataFrame, mark: str, id_col: str, text_col: str) -> DataFrame:
+    """The documents that stay, by their marks (id, th, mark) and each mark's root."""
+    # plain sides of the joins, so that AQE can split a hot mark or group
+    rooted = written(rooted, "simhashroots")
+    grouped = written(marks.join(rooted, mark).select("id", "th", "root"), "simhashed")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
     first = written(first, "simhashfirst")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))

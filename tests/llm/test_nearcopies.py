@@ -1,0 +1,78 @@
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from pointweave.llm import nearcopies, simhash
+
+
+def brute_sets(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_groups(texts):
+    """For each text, the first of its group."""
+    sets, root = [brute_sets(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited_rows():
+    """Families of edits at similarities around 0.8, a passage that many hold, odd texts; ids ascend."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = " ".join(rng.choice(vocabulary, 20))
+    texts = []
+    for family in range(12):
+        base = list(rng.choice(vocabulary, int(rng.integers(50, 300))))
+        for k in range(50 if family == 0 else 6):
+            copy = list(base)
+            for at in rng.choice(len(base), int(rng.integers(0, max(2, len(base) // 30))), replace=False):
+                copy[at] = "edit" + str(rng.integers(10**6))
+            if k % 3 == 1:
+                copy = copy[: int(len(copy) * rng.uniform(0.75, 1.0))]
+            texts.append(" ".join(copy))
+    texts += [passage + " " + " ".join(rng.choice(vocabulary, 30)) for _ in range(60)]
+    texts += [None, "", " \n", "one two", "ONE  two", "one two three", "und " * 3000, "Und " * 2000, "é É a b c d"]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("limits", [{}, {"LONG": 3, "NEAR": 1, "SAMPLE": 1, "BLOCK_BYTES": 4000}, {"MOST_FREQUENT": 1, "LONG": 8, "AT_ONCE": 50}])
+def test_against_brute_force(docs_of, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(nearcopies, name, value)
+    rows = edited_rows()
+    groups = brute_groups([t for _, t in rows])
+    assert 20 < len(set(groups)) < len(rows) - 40
+    got = nearcopies.keep_one(docs_of(rows).repartition(5))
+    assert got.columns == ["doc_id", "text", "words", "mark"]
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(groups))
+
+
+def test_stage_drops_what_differs_by_more_bits(docs_of, spark, sf_dir):
+    words = [f"word{k}" for k in range(100)]
+    other = [*words[:30], "changed", *words[31:]]
+    texts = " ".join(words), " ".join(other)
+    both, sets = brute_sets(texts[0]) & brute_sets(texts[1]), brute_sets(texts[0]) | brute_sets(texts[1])
+    assert len(both) / len(sets) >= 0.8
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() > 4
+    docs = docs_of([(1, texts[0]), (2, texts[1]), (3, "quite another text of its own")])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, sf_dir).collect()) == [1, 3]
+
+
+def test_repeated_rows_and_null_ids(docs_of):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "x y z"), (4, "x y z"), (4, "other words"), (None, "x y z")]
+    got = sorted(((r["doc_id"], r["text"]) for r in nearcopies.keep_one(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(None, "a b c d e f"), (4, "x y z"), (4, "other words")], key=str)
+    assert nearcopies.keep_one(docs_of([])).collect() == []
