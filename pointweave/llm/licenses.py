@@ -3,16 +3,17 @@
 Templates are license notices as word lists. The rare words of a template are those of the greatest inverse document
 frequency, counted over all documents (one pass; only the templates' words are counted, so a fixed number of counts
 reaches the driver). The index lists for each rare word its templates and places. In a text, each occurrence of a rare word
-votes for the places where its templates would begin; a place that the text's own rare words of a template agree on is
-verified word by word, and a template's label needs its key phrase within that place. Places and phrases are over whole
-texts; a word that occurs a thousand times votes a thousand times.
+votes for the places where its templates would begin. Words that are inserted or dropped move the places behind them, by no
+more than as many words as may differ, so the votes of places that near are pooled; where enough of a template's rare words
+agree, it is verified word by word at each place and by alignment, and its label needs its key phrase within the words that
+it covers. Places and phrases are over whole texts; a word that occurs a thousand times votes a thousand times.
 
 Base phrases are counted wherever their words stand consecutively, and give their labels whatever the index says.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased.
 
 Defined results: a null or empty text has no words, no labels and score 0. The score is the greatest share of a verified
-template's words that stand where it has them, 0 without one. Repeated rows get a row each; other columns don't matter.
+template's words without the changed, dropped and inserted ones, 0 without one. Repeated rows get a row each; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -70,22 +71,72 @@ def templates(notices=NOTICES) -> list[Template]:
 
 
 class Index:
-    """rare_words: how many of a template's rarest words are listed; agree: the share of those in the text that must vote
-    for the same place; share: the share of all the template's words that must stand where it has them."""
+    """rare_words: how many of a template's rarest words are listed; share: the share of all the template's words that must be
+    left when changed, dropped and inserted words are taken away."""
 
     def __init__(self, frequency: dict[bytes, int], n_docs: int, notices=NOTICES, phrases=PHRASES, *, rare_words: int = 6, share: float = 0.8):
         self.templates, self.share = templates(notices), share
         self.phrases = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in phrases.items()]
         self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) for t in self.templates for w in t.words}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.needed = []
+        self.needed, self.edits = [], []
         for k, t in enumerate(self.templates):
             rare = sorted(set(t.words), key=lambda w: (-self.idf[w], w))[:rare_words]
             places = [(w, at) for at, w in enumerate(t.words) if w in rare]
             for w, at in places:
                 self.postings[w].append((k, at))
             # with at most 1 - share of the words elsewhere, so many of the rare places still agree
-            self.needed.append(max(1, len(places) - math.floor((1 - share) * len(t.words) + 1e-9)))
+            self.edits.append(math.floor((1 - share) * len(t.words) + 1e-9))
+            self.needed.append(max(1, len(places) - self.edits[-1]))
+
+    def regions(self, k: int, votes: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """First and last start of where votes (start, place) of enough different places are near; overlaps are merged."""
+        votes.sort()
+        e, reach, low, held, found = self.edits[k], len(self.templates[k].words) + 2 * self.edits[k], 0, Counter(), None
+        for start, place in votes:
+            held[place] += 1
+            while votes[low][0] < start - e:
+                held[votes[low][1]] -= 1
+                if not held[votes[low][1]]:
+                    del held[votes[low][1]]
+                low += 1
+            if len(held) >= self.needed[k]:
+                if found and votes[low][0] <= found[1] + reach:
+                    found = found[0], start
+                else:
+                    if found:
+                        yield found
+                    found = votes[low][0], start
+        if found:
+            yield found
+
+    def best(self, k: int, words: list[bytes], first: int, last: int) -> int:
+        """The most words of the template that are left in a verified place or alignment that begins there, else 0."""
+        t, e, left = self.templates[k], self.edits[k], 0
+        n = len(t.words)
+        for start in range(first, last + 1):
+            own = words[max(0, start) : max(0, start + n)]
+            equal = sum(a == b for a, b in zip(own, t.words[max(0, -start) :], strict=False))
+            if equal > left and equal >= self.share * n and t.key in b" " + b" ".join(own) + b" ":
+                left = equal
+        if left == n:
+            return n
+        own = words[max(0, first - e) : max(0, last + n + e)]
+        cost, begun = list(range(n + 1)), [0] * (n + 1)  # of the template's first words, ending here: edits, and where they begin
+        for i, w in enumerate(own):
+            new, at = [0], [i + 1]
+            for j in range(n):
+                c, b = cost[j] + (w != t.words[j]), begun[j]
+                if cost[j + 1] + 1 < c:
+                    c, b = cost[j + 1] + 1, begun[j + 1]
+                if new[j] + 1 < c:
+                    c, b = new[j] + 1, at[j]
+                new.append(c)
+                at.append(b)
+            cost, begun = new, at
+            if cost[n] <= e and n - cost[n] > left and t.key in b" " + b" ".join(own[begun[n] : i + 1]) + b" ":
+                left = n - cost[n]
+        return left
 
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)
@@ -97,21 +148,21 @@ class Index:
                 starts.append(line.count(b" ", 0, at))
                 base.add(label)
                 at = line.find(phrase, at + 1)
-        votes: Counter = Counter()
+        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         postings = self.postings
         for at, w in enumerate(words):
             if w in postings:
-                votes.update((k, at - place) for k, place in postings[w])
+                for k, place in postings[w]:
+                    votes[k].append((at - place, place))
         labels, score = set(base), 0.0
-        for (k, start), n in votes.items():
-            if n < self.needed[k]:
-                continue
+        for k, own in votes.items():
             t = self.templates[k]
-            own = words[max(0, start) : max(0, start + len(t.words))]
-            equal = sum(a == b for a, b in zip(own, t.words[max(0, -start) :], strict=False))
-            if equal >= self.share * len(t.words) and t.key in b" " + b" ".join(own) + b" ":
+            if t.key not in line:
+                continue
+            left = max((self.best(k, words, *region) for region in self.regions(k, own)), default=0)
+            if left:
                 labels.add(t.label)
-                score = max(score, equal / len(t.words))
+                score = max(score, left / len(t.words))
         first, last = (min(starts), max(starts)) if starts else (None, None)
         return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 

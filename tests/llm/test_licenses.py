@@ -65,3 +65,19 @@ def test_query(spark, sf_dir):
     for r in rows:
         assert tuple(r)[1:6] == brute_base(texts[r["doc_id"]])
         assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_inserted_and_dropped_words():
+    index = licenses.Index({}, 100)
+    found = lambda text: (set(index.scan(text)[5].split(",")), index.scan(text)[6])
+    labels, score = found("This work is licensed under GNU General Public License, version 3")
+    assert labels == {"gpl", "gpl-3"} and score == 11 / 12
+    for label, key, notice in licenses.NOTICES:
+        words = licenses.words_of(notice)
+        inside = b" ".join(licenses.words_of(key))
+        changed = [words[:at] + words[at + 1 :] for at in range(len(words))] + [words[:at] + [b"really"] + words[at:] for at in range(1, len(words))]
+        for own in changed:
+            text = b" ".join(own)
+            if len(words) >= 5 and inside in text:
+                labels, score = found("some words before " + text.decode() + " and some behind")
+                assert label in labels and score >= (len(words) - 1) / len(words), text
