@@ -56,10 +56,10 @@ def wrap32(d: Column) -> Column:
 
 
 def voxel_key(x: Column, y: Column, z: Column) -> Column:
-    """Three axes of 21 bits in one long. Ticks beyond 2^20 wrap around."""
+    """Three axes of 21 bits in one long, x lowest. Ticks beyond 2^20 wrap around."""
     mask = F.lit((1 << VOXEL_BITS) - 1)
     part = lambda v: (v + VOXEL_BIAS).bitwiseAND(mask)
-    return F.shiftleft(part(x), 2 * VOXEL_BITS).bitwiseOR(F.shiftleft(part(y), VOXEL_BITS)).bitwiseOR(part(z))
+    return part(x).bitwiseOR(F.shiftleft(part(y), VOXEL_BITS)).bitwiseOR(F.shiftleft(part(z), 2 * VOXEL_BITS))
 
 
 def is_finite(*columns: Column) -> Column:

@@ -88,7 +88,7 @@ ORACLE_SQL = {
     "q04_int_delta_chunks": f"WITH {E}, d AS (SELECT *, {delta('user_id')} AS delta FROM e) SELECT event_id, chunk::BIGINT AS chunk, delta, {zz('delta')} AS zz, delta AS back FROM d",
     "q05_finite_filter": f"WITH g AS (SELECT event_type, {GAPS} AS v FROM events) SELECT event_type, count(*)::BIGINT AS n_all, count(*) FILTER (WHERE {FINITE})::BIGINT AS n_finite, count(*) FILTER (WHERE NOT isnan(v))::BIGINT AS n_not_nan FROM g GROUP BY event_type",
     "q06_voxel_dedup_first": f"WITH {VOXELS} SELECT * FROM k",
-    "q07_voxel_key_packed": f"WITH {VOXELS} SELECT vec_id, (((vx + 1048576) & 2097151) << 42) | (((vy + 1048576) & 2097151) << 21) | ((vz + 1048576) & 2097151) AS key FROM k",
+    "q07_voxel_key_packed": f"WITH {VOXELS} SELECT vec_id, ((vx + 1048576) & 2097151) + ((vy + 1048576) & 2097151) * 2097152 + ((vz + 1048576) & 2097151) * 4398046511104 AS key FROM k",
     "q08_resolution_profile_project": f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity * 2)::BIGINT AS l_quantity, round(l_extendedprice * '{INV}'::DOUBLE)::BIGINT AS l_extendedprice, l_tax, l_returnflag, l_linestatus FROM lineitem",
     "q09_viz_removed_pct": f"WITH {VOXELS} SELECT (SELECT count(*) FROM p)::BIGINT AS total, (SELECT count(*) FROM k)::BIGINT AS kept, round(100.0::DOUBLE * (1 - (SELECT count(*) FROM k)::DOUBLE / (SELECT count(*) FROM p)), 6) AS removed_pct",
     "q10_topic_ratio": f"WITH {SIZED} " + total("count(*)::BIGINT AS messages, sum(given)::BIGINT AS given, sum(out)::BIGINT AS out, round(sum(out)::DOUBLE / sum(given)::DOUBLE, 6) AS ratio", "sized"),

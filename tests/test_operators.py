@@ -40,6 +40,30 @@ def test_indexed_numbers_large_clouds_in_ranges(spark, range_rows):
     assert indexed(df.limit(0), ["topic"], ["id"]).collect() == []
 
 
+def test_indexed_takes_text_outliers_and_constants(spark):
+    r = np.random.default_rng(5)
+    names = [f"n{k:04d}" for k in r.permutation(400)]
+    data = [(n, 10**15 if k == 7 else k, 1, None if k % 9 else "x") for k, n in enumerate(names)]
+    df = spark.createDataFrame(data, "name string, far long, same int, gaps string").repartition(7)
+    for order in (["name"], ["far"], ["same", "name"], ["gaps", "far"]):
+        columns = [df.columns.index(c) for c in order]
+        want = sorted(data, key=lambda row: [(row[c] is not None, row[c]) for c in columns])
+        got = indexed(df.withColumn("one", F.lit(1)), ["one"], order, range_rows=25)
+        assert [tuple(x)[:4] for x in got.orderBy("idx").select(*df.columns, "idx").collect()] == want
+        assert sorted(x[0] for x in got.select("idx").collect()) == list(range(400))
+    ties = indexed(df, ["same"], ["same"], range_rows=25)  # not a total order: still a number for each
+    assert sorted(x[0] for x in ties.select("idx").collect()) == list(range(400))
+    outlier = df.withColumn("one", F.lit(1)).repartitionByRange(16, "one", "far")
+    assert max(x["count"] for x in outlier.groupBy(F.spark_partition_id()).count().collect()) < 100
+
+
+def test_voxel_key_has_x_lowest(spark):
+    df = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (-1, -2, -3), (2**20, 0, 0)], "x long, y long, z long")
+    base = 2**20
+    want = [((x + base) % 2**21) + ((y + base) % 2**21) * 2**21 + ((z + base) % 2**21) * 2**42 for x, y, z in map(tuple, df.collect())]
+    assert [r[0] for r in df.select(bits.voxel_key(F.col("x"), F.col("y"), F.col("z"))).collect()] == want
+
+
 def points(spark, values, size=4):
     df = spark.createDataFrame([("t", k, v) for k, v in enumerate(values)], "event_type string, idx long, v double")
     return chunked(df, size=size)
