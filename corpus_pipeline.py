@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import bpe, decontam, linededup, nearcopies, rulelists
-from pointweave.llm.common import fresh, written
+from pointweave.llm import bpe, decontam, linededup, rulelists, widesimhash
+from pointweave.llm.common import fresh
+from pointweave.storage import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity of five-word shingles 0.8 or more) stays: the smallest id."""
-    return nearcopies.keep_one(docs).select(docs.columns)
+    """One document of each group of near copies stays, that with the smallest id: by SimHash fingerprints wide enough for a
+    similarity of five-word shingles of 0.8 or more, verified on the shingles."""
+    return widesimhash.keep_one(docs).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

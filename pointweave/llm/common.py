@@ -1,64 +1,20 @@
-"""Shared pieces: shared folders, cut lineage, connected components, batches of text."""
+"""Shared pieces: connected components, bounded caches, batches of text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folders of tables that this driver has written and not dropped.
-WRITTEN: set[str] = set()
+from pointweave.storage import drop_written, written
+
 #: Rows of text that are Python objects at a time.
 SLICE_ROWS = 512
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a new local one (single machines)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="pointweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop, whatever store it is in."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back. It outlives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    WRITTEN.add(path)
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    delete(df.sparkSession, df.written_path)
-    WRITTEN.discard(df.written_path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all tables that ``written`` has left; results that read them must have been used."""
-    for path in list(WRITTEN):
-        delete(spark, path)
-        WRITTEN.discard(path)
-
-
 def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df marked for broadcast if it is counted to have so many rows at most. For narrow rows; give a written table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -121,8 +77,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected links (a long, b long): node, root (the least node of its component).
 
     Alternates large-star and small-star steps (Kiveris et al., 2014); each round is written to the shared folder.
-    Needs O(log^2 n) rounds; only nodes with a link come out. Hot nodes are pre-aggregated by ``min`` and their joins
-    are left to AQE's skew handling. Null or self links are ignored; an empty input gives no rows.
+    Needs O(log^2 n) rounds; only nodes with a link come out. Hot nodes are pre-aggregated by ``min``; each minimum is written
+    before it is joined, as AQE splits a hot side of a join only if the other one isn't an aggregate over the same shuffle.
+    Null or self links are ignored; an empty input gives no rows.
     """
     edges = written(
         links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
@@ -130,14 +87,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     sign = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(edges.limit(0)).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "linkleast")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "linklarge")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "linklow")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         new = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_written(edges)
+        drop_written(edges, least, large, low)
         edges = after
         if tuple(new) == sign:
             break

@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import drop_written, fresh, mix64, slices, written
+from pointweave.llm.common import fresh, mix64, slices
+from pointweave.storage import drop_written, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)

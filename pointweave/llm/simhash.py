@@ -12,12 +12,14 @@ in any linked pair one segment differs by at most one bit.
   segments differ by exactly one bit: the last 2m - d - 1 of the segments need no variants.
 
 Segments alone would be short keys that unrelated fingerprints share at scale, so each is joined by a piece of the rest,
-cut into one more piece than it can differ by bits: one piece is equal. For d = 4 that gives 187 keys of 30 bits each.
+cut into one more piece than it can differ by bits: one piece is equal. For d = 4 that gives 183 keys of 30 bits each.
 
 Distinct fingerprints only are indexed (copies share one), sorted by key with spill, and verified while they stream by.
 Within a key, a search from fingerprint to fingerprint that meets each one once emits links that span the group; not all
-pairs. A key's fingerprints take 8 bytes each, and only distinct ones count, however many documents share them; a key with
-more than a million is dealt out in pairs of blocks.
+pairs. A long run is cut further by the bits that vary in it: of d + j pieces of them, j are equal in any linked pair, so
+each choice of j pieces is a key of its own, and unrelated fingerprints seldom meet. A key's fingerprints take 8 bytes each, and
+only distinct ones count, however many documents share them; no more than 680,000 are within four bits of any one. A key with
+more than a million is dealt out in pairs of blocks all the same.
 
 Defined results: a text without words, null or empty has fingerprint zero and links like any other. Repeated rows and
 rows with equal ids get a row each. A null id is never the smallest; a group of null ids only has a null component. Only
@@ -27,6 +29,7 @@ the id and text columns are read, so other columns and their names don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import components, few, fresh, mix64, slices, written
+from pointweave.llm.common import components, few, fresh, mix64, slices
+from pointweave.storage import drop_written, written
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
+#: Fingerprints of a run that is cut further, those of a part that are all compared with each other, comparisons at a time.
+LONG_RUN, SHORT_RUN, AT_ONCE = 2048, 128, 1 << 18
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -93,19 +99,51 @@ def keys_of(fps: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 
 def span(fps: np.ndarray, max_bits: int) -> tuple[list, list]:
-    """Links that span each group of these distinct fingerprints, found by a search that meets each one once."""
+    """Links that span each group of these distinct fingerprints, found by a search that meets each one once. Many open ones
+    are compared with the rest at a time."""
     a, b, rest = [], [], fps
     while rest.size > 1:
-        open_, rest = [rest[0]], rest[1:]
-        while open_ and rest.size:
-            x = open_.pop()
-            near = np.bitwise_count(rest ^ x) <= max_bits
-            if near.any():
-                hits = rest[near]
-                rest = rest[~near]
-                a.append(np.full(hits.size, x))
+        open_, rest = rest[:1], rest[1:]
+        while open_.size and rest.size:
+            n = max(1, AT_ONCE // rest.size)
+            some, open_ = open_[:n], open_[n:]
+            near = np.bitwise_count(rest[None, :] ^ some[:, None]) <= max_bits
+            hit = near.any(axis=0)
+            if hit.any():
+                hits = rest[hit]
+                a.append(some[near[:, hit].argmax(axis=0)])
                 b.append(hits)
-                open_ += list(hits)
+                rest = rest[~hit]
+                open_ = np.concatenate([open_, hits])
+    return a, b
+
+
+def span_long(fps: np.ndarray, max_bits: int) -> tuple[list, list]:
+    """As span. The bits that vary are cut in max_bits + j pieces, of which linked fingerprints have j in common; j is so that
+    few unrelated ones meet."""
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    places = [p for p in range(64) if varying >> p & 1]
+    if len(fps) <= LONG_RUN or len(places) < 2 * (max_bits + 2):
+        return span(fps, max_bits)
+    j = next((j for j in (2, 3) if len(fps) >> len(places) * j // (max_bits + j) <= SHORT_RUN // 2), 4)
+    pieces = [sum(1 << p for p in part) for part in cut(places, max_bits + j)]
+    a, b = [], []
+    for some in combinations(pieces, j):
+        code = fps & np.uint64(sum(some))
+        order = np.argsort(code)
+        code, own = code[order], fps[order]
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        sizes = np.diff(np.append(starts, len(code)))
+        small = np.repeat(sizes <= SHORT_RUN, sizes)
+        near, code = own[small], code[small]
+        for d in range(1, int(sizes[sizes <= SHORT_RUN].max(initial=1))):
+            hit = (code[d:] == code[:-d]) & (np.bitwise_count(near[d:] ^ near[:-d]) <= max_bits)
+            a.append(near[:-d][hit])
+            b.append(near[d:][hit])
+        for r in np.flatnonzero(sizes > SHORT_RUN):
+            x, y = span(own[starts[r] : starts[r] + sizes[r]], max_bits)
+            a += x
+            b += y
     return a, b
 
 
@@ -120,7 +158,7 @@ def link_runs(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarra
         runs = np.unique(np.searchsorted(starts, broken, side="right") - 1)
         ends = np.append(starts, len(key))
         for r in runs:
-            x, y = span(fp[ends[r] : ends[r + 1]], max_bits)
+            x, y = span_long(fp[ends[r] : ends[r + 1]], max_bits)
             a += x
             b += y
     both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
@@ -222,7 +260,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: in
     marks = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), fingerprints(words)(text).alias("fp"))
     marks = written(marks, "simhash")
     classes = written(marks.groupBy("fp").agg(F.min("id").alias("least")), "simhashes")
-    groups = near_groups(classes, max_bits)
+    groups = near_groups(classes, max_bits)  # its links are written
     rooted = classes.join(groups, classes.fp == groups.node, "left")
     return marks, rooted.select("fp", F.coalesce("root", "fp").alias("root"), "least")
 
@@ -230,8 +268,11 @@ def marked(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: in
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, max_bits: int = 4) -> DataFrame:
     """A row per document: id, fingerprint (16 lowercase hex digits), component_id (the smallest id of its component)."""
     marks, rooted = marked(docs, id_col, text_col, words, max_bits)
-    low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(low, "root").select("fp", "component_id")
+    # plain sides of the joins, so that AQE can split a hot root or fingerprint
+    rooted = written(rooted, "simhashroots")
+    low = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhashleast")
+    found = written(rooted.join(low, "root").select("fp", "component_id"), "simhashfound")
+    drop_written(rooted, low)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marks.join(found, "fp").select(F.col("id").alias(id_col), shown, "component_id")
 

@@ -40,8 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm import latin
-from pointweave.llm.common import TwoGenerations, drop_written, new_path, slices, written
+from pointweave.llm.common import TwoGenerations, slices
 from pointweave.llm.files import Folder, own_name
+from pointweave.storage import drop_written, new_path, written
 
 MAGIC = b"PWIDPLN1"
 

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import drop_written, new_path, written
 from pointweave.llm.files import Folder, own_name
+from pointweave.storage import drop_written, new_path, written
 
 GZIP, CHUNK = 31, 1 << 18
 MANIFEST = "folder string, name string, n_records bigint"

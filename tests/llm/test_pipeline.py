@@ -7,7 +7,7 @@ from pointweave.llm import bpe, rulelists
 from tests.llm.test_decontam import brute as brute_decontam
 from tests.llm.test_linededup import brute as brute_lines
 from tests.llm.test_quality import brute as brute_counts
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_widesimhash import brute_groups
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -21,8 +21,8 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert kept <= base
     docs = [(i, t) for i, t in docs if i in kept]
     docs = [(i, t) for i, t, _, _ in brute_lines(docs, 40, 5)]
-    found = brute_components(docs, [brute_fingerprint(t) for _, t in docs])
-    docs = [d for d, c in zip(docs, found, strict=True) if d[0] == c]
+    docs.sort()
+    docs = [docs[k] for k in sorted(set(brute_groups([t for _, t in docs])))]  # the smallest id of each group
     bad = {r[0] for r in brute_decontam(docs, items) if r[5]}
     docs = [d for d in docs if d[0] not in bad]
 
