@@ -8,44 +8,26 @@ from __future__ import annotations
 import argparse
 import sys
 from collections import Counter
-from dataclasses import replace
 from pathlib import Path
 
 from pointweave.functions import binary
-from pointweave.functions.text import listing_order, parse_profile, renamed, to_yaml
-from pointweave.model import Compression, Encoding, FieldType, Header, enum_of
-from pointweave.plans import planner
+from pointweave.functions.text import listing_order, mib, parse_profile, percent, renamed, to_yaml
 from pointweave.sources import cdr, mcap, pcd
+from pointweave.sources.convert import Conversion, benchmark, explain
+from pointweave.sources.definitions import CLOUD, COMPRESSED
 
-CLOUD, COMPRESSED = "sensor_msgs/msg/PointCloud2", "point_cloud_interfaces/msg/CompressedPointCloud2"
-
-
-def transcode(raw: bytes, *, encode: bool, profile: dict[str, float] | None = None, default: float | None = 0.001, compression: str = "zstd") -> tuple[bytes, tuple[int, int]]:
+def transcode(raw: bytes, *, encode: bool, **options) -> tuple[bytes, tuple[int, int]]:
     """A container with its cloud messages converted, others as they are, in order; and bytes in and out of the converted.
-
-    A container that is compressed itself gets blobs without compression of their own.
-    """
+    options: as for ``Conversion``."""
+    conversion = Conversion(encode, **options)
     box, messages = mcap.read(raw)
-    source, target = (CLOUD, COMPRESSED) if encode else (COMPRESSED, CLOUD)
-    schemas = {s.id: s for s in box.schemas}
-    wanted = {c.id for c in box.channels if c.schema_id in schemas and schemas[c.schema_id].name == source}
-    given = made = 0
+    wanted, given, made = conversion.channels(box), 0, 0
     for m in messages:
-        if m.channel_id not in wanted:
-            continue
-        given += len(m.data)
-        if encode:
-            cloud = cdr.decode(m.data)
-            header = planner.apply_profile(cdr.header_of(cloud), profile or {}, default)
-            header = replace(header, compression=Compression.NONE) if compression == "zstd" else header
-            m.data = cdr.to_compressed(m.data, header)
-        else:
-            m.data = cdr.from_compressed(m.data)
-        made += len(m.data)
-    for s in box.schemas:
-        if s.name == source:
-            s.name = target
-    return mcap.write(box, messages, compression=compression), (given, made)
+        if m.channel_id in wanted:
+            given += len(m.data)
+            m.data = conversion.message(m.data)
+            made += len(m.data)
+    return mcap.write(conversion.definitions(box), messages, compression=conversion.compression), (given, made)
 
 
 def cut(raw: bytes, n: int = 1000, schema: str | None = None) -> bytes:
@@ -75,22 +57,12 @@ def inspect(raw: bytes) -> str:
     return to_yaml(header) + "".join(f"{f.name} {f.type.name} {f.resolution}\n" for f in sorted(header.fields, key=lambda f: f.offset))
 
 
-def pcd_to_blob(raw: bytes, *, resolution: float = 0.001, intensity: float | None = None, encoding: str = "LOSSY", compression: str = "ZSTD") -> bytes:
-    own, points = pcd.read(raw)
-    options = {"encoding": enum_of(Encoding, encoding), "compression": enum_of(Compression, compression)}
-    header = Header(own.fields, own.width, own.height, own.point_step, **options)
-    profile = {f.name: resolution for f in own.fields if f.type == FieldType.FLOAT32}
-    if intensity is not None and "intensity" in profile:
-        profile["intensity"] = intensity
-    return binary.encode_blob(planner.apply_profile(header, profile) if options["encoding"] == Encoding.LOSSY else header, points)
-
-
 def pcd_folder(folder: Path, **options) -> tuple[int, int]:
     """Every *.pcd of a folder to a blob beside it; how many were converted, and how many failed."""
     done = failed = 0
     for path in sorted(folder.glob("*.pcd")):
         try:
-            path.with_suffix(".cldn").write_bytes(pcd_to_blob(path.read_bytes(), **options))
+            path.with_suffix(".cldn").write_bytes(pcd.to_blob(path.read_bytes(), **options))
             done += 1
         except (ValueError, KeyError) as e:
             print(f"{path}: {e}", file=sys.stderr)
@@ -122,6 +94,12 @@ def main(args: list[str] | None = None) -> int:
         p.add_argument("--profile", default="")
         p.add_argument("--resolution", type=float, default=0.001)
         p.add_argument("--compression", choices=("zstd", "lz4", "none"), default="zstd")
+        p.add_argument("--visual", action="store_true", help="one point a voxel, times in microseconds")
+    p = commands.add_parser("benchmark", help="bytes and speed of each topic, by several ways to encode")
+    p.add_argument("input", type=Path)
+    p.add_argument("--profile", default="")
+    p.add_argument("--resolution", type=float, default=0.001)
+    p.add_argument("--explain", action="store_true")
     p = commands.add_parser("cut")
     p.add_argument("input", type=Path)
     p.add_argument("output", type=Path)
@@ -135,12 +113,21 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--encoding", default="LOSSY")
     p.add_argument("--compression", default="ZSTD")
     own = parser.parse_args(args)
-    if own.command in ("encode", "decode"):
+    if own.command in ("encode", "decode", "benchmark"):
         text = Path(own.profile).read_text().strip() if own.profile and Path(own.profile).is_file() else own.profile
         profile = parse_profile(text) if text else {}
+    if own.command == "benchmark":
+        plain = Conversion(True, profile, own.resolution, "none")
+        if own.explain:
+            print("\n".join(explain(own.input.read_bytes(), plain)))
+            return 0
+        modes = {"codec": Conversion(True, profile, own.resolution), "codec+zstd": plain, "visual": Conversion(True, profile, own.resolution, visual=True), "visual+zstd": Conversion(True, profile, own.resolution, "none", True)}
+        for row in benchmark(own.input.read_bytes(), modes):
+            print(f"{row['topic']} {row['mode']}: {row['messages']} messages, {row['points']} points, {mib(row['raw_bytes'])} to {mib(row['out_bytes'])}, {percent(row['out_bytes'], row['raw_bytes'])}, encode {row['encode_mb_s']:.0f} MB/s, decode {row['decode_mb_s']:.0f} MB/s, CPU {row['encode_cpu_s']:.3f} and {row['decode_cpu_s']:.3f} s")
+    elif own.command in ("encode", "decode"):
         for field in sorted(profile, key=listing_order):
             print(f"{field}: {profile[field] or 'removed'}")
-        options = {"encode": own.command == "encode", "profile": profile, "default": own.resolution, "compression": "" if own.compression == "none" else own.compression}
+        options = {"encode": own.command == "encode", "profile": profile, "default": own.resolution, "compression": "" if own.compression == "none" else own.compression, "visual": own.visual}
         if own.input.is_dir():
             given, made = bag(own.input, own.output, **options)
         else:

@@ -7,6 +7,7 @@ side by side. Streams of numbers only, or of fixed widths only, are decoded as a
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pointweave.model import DTYPE, Compression, Encoding, FieldType, Header, Po
 from pointweave.operators.adaptive import MODES, PROBE
 from pointweave.operators.order import CHUNK
 from pointweave.operators.sequence import inverse
-from pointweave.plans.planner import max_size, steps, transform
+from pointweave.plans.planner import drop_choice, max_size, register_choice, steps, transform
 
 #: A blob begins with ten bytes of its format's name, and its version in two digits. Other names can be given.
 MAGIC = b"POINTWEAVE"
@@ -347,25 +348,104 @@ def fixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix, np.full(len(values), matrix.shape[1])
 
 
+class Coder:
+    """One field's values of a chunk to bytes and back. Subclass it and ``register_coder`` it to add a way of coding."""
+
+    def encode(self, values: np.ndarray, field: PointField) -> tuple[np.ndarray, np.ndarray]:
+        """A matrix of padded bytes, a row for each value, and how many of them each value uses."""
+        raise NotImplementedError
+
+    def reader(self, field: PointField):
+        """read(raw, at): the next value's code as an integer, and where the one behind it begins."""
+        raise NotImplementedError
+
+    def decode(self, codes: np.ndarray, field: PointField) -> np.ndarray:
+        """All codes (uint64) to values."""
+        raise NotImplementedError
+
+
+class Numbers(Coder):
+    def reader(self, field: PointField):
+        return read_uvarint
+
+
+class Ticks(Numbers):
+    def __init__(self, lanes: bool = False):
+        self.lanes = lanes
+
+    def encode(self, values, field):
+        missing = np.isnan(values)
+        d = deltas((lane_ticks if self.lanes else ticks)(values, field.resolution), missing)
+        return varints(wrap32(d) if self.lanes else d, missing)
+
+    def decode(self, codes, field):
+        missing = codes == 0
+        q = sums(np.where(missing, 0, signed(codes)), missing)
+        own = np.dtype(DTYPE[field.type]).type
+        return np.where(missing, own(np.nan), (wrap32(q) if self.lanes else q).astype(own) * own(np.float32(field.resolution)))
+
+
+class Deltas(Numbers):
+    def encode(self, values, field):
+        return varints(deltas(raw64(values), np.zeros(len(values), bool)))
+
+    def decode(self, codes, field):
+        return narrowed(sums(signed(codes), np.zeros(len(codes), bool)), np.dtype(DTYPE[field.type]))
+
+
+class Fixed(Coder):
+    def encode(self, values, field):
+        return fixed(values)
+
+    def reader(self, field: PointField):
+        size = size_of(field.type)
+
+        def read(raw: bytes, at: int) -> tuple[int, int]:
+            if at + size > len(raw):
+                raise Broken("points are cut off")
+            return int.from_bytes(raw[at : at + size], "little"), at + size
+
+        return read
+
+    def decode(self, codes, field):
+        return codes.astype(f"<u{size_of(field.type)}").view(DTYPE[field.type])
+
+
+class Xor(Fixed):
+    def encode(self, values, field):
+        return fixed(xor_residuals(values))
+
+    def decode(self, codes, field):
+        held = codes.astype(f"<u{size_of(field.type)}")
+        return (np.bitwise_xor.accumulate(held) if len(held) else held).view(DTYPE[field.type])
+
+
+class GorillaCoder(Fixed):
+    def encode(self, values, field):
+        return gorilla(values)
+
+    def reader(self, field: PointField):
+        return Gorilla(8 * size_of(field.type)).read
+
+
+#: By the kinds that ``planner.transform`` gives.
+CODERS: dict[str, Coder] = {"lanes": Ticks(lanes=True), "ticks": Ticks(), "delta": Deltas(), "xor": Xor(), "gorilla": GorillaCoder(), "copy": Fixed()}
+
+
+def register_coder(kind: str, coder: Coder, applies: Callable[[Header, PointField], bool]) -> None:
+    """Have ``coder`` code the fields that ``applies`` to, in place of the built-in choice. Encoding and decoding must have the
+    same coders registered; on a cluster register them in a module that the workers import."""
+    CODERS[kind] = coder
+    register_choice(kind, applies)
+
+
+def unregister_coder(kind: str) -> None:
+    CODERS.pop(kind)
+    drop_choice(kind)
+
+
 def coded(points: np.ndarray, kind: str, fields: tuple[PointField, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for f in fields:
-        v = np.ascontiguousarray(points[f.name])
-        if kind == "lanes":
-            missing = np.isnan(v)
-            out.append(varints(wrap32(deltas(lane_ticks(v, f.resolution), missing)), missing))
-        elif kind == "ticks":
-            missing = np.isnan(v)
-            out.append(varints(deltas(ticks(v, f.resolution), missing), missing))
-        elif kind == "delta":
-            out.append(varints(deltas(raw64(v), np.zeros(len(v), bool))))
-        elif kind == "xor":
-            out.append(fixed(xor_residuals(v)))
-        elif kind == "gorilla":
-            out.append(gorilla(v))
-        else:
-            out.append(fixed(v))
-    return out
+    return [CODERS[kind].encode(np.ascontiguousarray(points[f.name]), f) for f in fields]
 
 
 def encode_chunk(header: Header, points: np.ndarray, modes: dict[str, str]) -> bytes:
@@ -384,30 +464,35 @@ def encode_chunk(header: Header, points: np.ndarray, modes: dict[str, str]) -> b
     return b"".join(out)
 
 
-def decode_chunk(header: Header, raw: bytes, n: int) -> np.ndarray:
-    """n points as a structured array; bytes behind them, or none, are errors."""
+def decode_chunk(header: Header, raw: bytes, n: int, wanted: set[str] | None = None) -> np.ndarray:
+    """n points as a structured array; bytes behind them, or none, are errors. Fields that aren't wanted are passed over: their
+    bytes are read, but they aren't decoded further and stay zero."""
     out, at = np.zeros(n, header.dtype()), 0
     plan = [(k, f) for k, fs in decoding_steps(header) for f in fs]
     regular = [(k, f) for k, f in plan if k != "section"]
-    numbers = {"lanes", "ticks", "delta"}
-    if regular and all(k in numbers for k, _ in regular):
-        z, at = read_uvarints(np.frombuffer(raw, np.uint8), n * len(regular))
+    keep = lambda f: wanted is None or f.name in wanted
+    if regular and all(isinstance(CODERS[k], Numbers) for k, _ in regular):
+        codes, at = read_uvarints(np.frombuffer(raw, np.uint8), n * len(regular))
         for c, (k, f) in enumerate(regular):
-            put_numbers(out, k, f, z[c :: len(regular)])
-    elif regular and all(k in ("copy", "xor") for k, _ in regular):
-        layout = np.dtype([(f"f{c}", DTYPE[f.type]) for c, (_, f) in enumerate(regular)])
+            if keep(f):
+                out[f.name] = CODERS[k].decode(codes[c :: len(regular)], f)
+    elif regular and all(type(CODERS[k]) in (Fixed, Xor) for k, _ in regular):
+        layout = np.dtype([(f"f{c}", f"<u{size_of(f.type)}") for c, (_, f) in enumerate(regular)])
         at = n * layout.itemsize
         if at > len(raw):
             raise Broken("points are cut off")
         held = np.frombuffer(raw, layout, n)
         for c, (k, f) in enumerate(regular):
-            put_fixed(out, k, f, held[f"f{c}"])
+            if keep(f):
+                out[f.name] = CODERS[k].decode(np.ascontiguousarray(held[f"f{c}"]), f)
     elif regular:
-        at = decode_mixed(out, regular, raw)
+        at = decode_mixed(out, regular, raw, keep)
     for k, f in plan:
         if k == "section":
-            out[f.name], size = read_section(raw[at:], np.dtype(DTYPE[f.type]), n)
+            values, size = read_section(raw[at:], np.dtype(DTYPE[f.type]), n)
             at += size
+            if keep(f):
+                out[f.name] = values
     if at != len(raw):
         raise Broken("bytes behind the last point")
     return out
@@ -418,45 +503,17 @@ def decoding_steps(header: Header) -> list[tuple[str, tuple[PointField, ...]]]:
     return [(k if k in ("lanes", "section") else transform(header, fs[0], decoding=True), fs) for k, fs in steps(header)]
 
 
-def put_numbers(out: np.ndarray, kind: str, f: PointField, z: np.ndarray) -> None:
-    if kind == "delta":
-        out[f.name] = narrowed(sums(signed(z), np.zeros(len(z), bool)), np.dtype(DTYPE[f.type]))
-        return
-    missing = z == 0
-    q = sums(np.where(missing, 0, signed(z)), missing)
-    q = wrap32(q) if kind == "lanes" else q
-    own = np.dtype(DTYPE[f.type]).type
-    out[f.name] = np.where(missing, own(np.nan), q.astype(own) * own(np.float32(f.resolution)))
-
-
-def put_fixed(out: np.ndarray, kind: str, f: PointField, held: np.ndarray) -> None:
-    if kind == "xor":
-        held = np.bitwise_xor.accumulate(as_bits(np.ascontiguousarray(held))).view(held.dtype) if len(held) else held
-    out[f.name] = held
-
-
-def decode_mixed(out: np.ndarray, regular: list[tuple[str, PointField]], raw: bytes) -> int:
-    """Values one by one; the coders' state afterwards, all at once."""
-    at = 0
+def decode_mixed(out: np.ndarray, regular: list[tuple[str, PointField]], raw: bytes, keep) -> int:
+    """Codes one by one; what the wanted ones stand for, all at once."""
+    at, readers = 0, [CODERS[k].reader(f) for k, f in regular]
     held: list[list[int]] = [[] for _ in regular]
-    readers = [Gorilla(8 * size_of(f.type)) if k == "gorilla" else None for k, f in regular]
     for _ in range(len(out)):
-        for c, (k, f) in enumerate(regular):
-            if readers[c]:
-                value, at = readers[c].read(raw, at)
-            elif k in ("copy", "xor"):
-                size = size_of(f.type)
-                if at + size > len(raw):
-                    raise Broken("points are cut off")
-                value, at = int.from_bytes(raw[at : at + size], "little"), at + size
-            else:
-                value, at = read_uvarint(raw, at)
-            held[c].append(value)
-    for values, (k, f) in zip(held, regular, strict=True):
-        if k in ("lanes", "ticks", "delta"):
-            put_numbers(out, k, f, np.array(values, U64))
-        else:
-            put_fixed(out, k, f, np.array(values, f"<u{size_of(f.type)}").view(DTYPE[f.type]))
+        for c, read in enumerate(readers):
+            code, at = read(raw, at)
+            held[c].append(code)
+    for codes, (k, f) in zip(held, regular, strict=True):
+        if keep(f):
+            out[f.name] = CODERS[k].decode(np.array(codes, U64), f)
     return at
 
 
@@ -596,10 +653,10 @@ def chunks_of(header: Header, raw: bytes, at: int) -> list[tuple[bytes, int]]:
     return out
 
 
-def open_chunk(header: Header, chunk: bytes, n: int) -> np.ndarray:
+def open_chunk(header: Header, chunk: bytes, n: int, wanted: set[str] | None = None) -> np.ndarray:
     whole = Header(header.fields, n, 1, max(1, header.point_step), header.encoding, Compression.NONE, "", header.version)
     bound = max(max_size(whole, n), n * header.point_step) + 12 * n * len(header.fields) + 4096
-    return decode_chunk(header, decompress(chunk, header.compression, bound), n)
+    return decode_chunk(header, decompress(chunk, header.compression, bound), n, wanted)
 
 
 def decode_blob(raw: bytes, *, magic: bytes | None = None) -> tuple[Header, np.ndarray]:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from inspect import signature
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from pointweave.functions import binary
 from pointweave.functions.text import from_yaml, parse_profile, to_yaml
@@ -21,6 +24,7 @@ def quiet(function, default=None):
         except (ValueError, KeyError, OverflowError):
             return default
 
+    run.columns = len(signature(function).parameters)
     return run
 
 
@@ -86,8 +90,23 @@ FUNCTIONS = {
 }
 
 
+def in_batches(function, kind: str):
+    """An Arrow function of one or two columns."""
+    arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[kind]
+
+    @F.arrow_udf(kind)
+    def one(a: pa.Array) -> pa.Array:
+        return pa.array([function(x) for x in a.to_pylist()], arrow)
+
+    @F.arrow_udf(kind)
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([function(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], arrow)
+
+    return two if function.columns == 2 else one
+
+
 def register(spark: SparkSession) -> list[str]:
     """Register all; their names."""
     for name, (function, kind, default) in FUNCTIONS.items():
-        spark.udf.register(name, quiet(function, default), kind)
+        spark.udf.register(name, in_batches(quiet(function, default), kind))
     return list(FUNCTIONS)

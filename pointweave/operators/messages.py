@@ -1,33 +1,27 @@
-"""Operators on sets of messages: lookups by id, limits, samples and statistics per topic."""
+"""Operators on sets of messages: lookups by id, limits, samples and statistics per topic.
+
+Dimensions are broadcast if Spark knows them to be small, in bytes: from files' sizes, or at run time from a shuffle's.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension (schemas, channels) is broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def with_schema(messages: DataFrame, channels: DataFrame, schemas: DataFrame) -> DataFrame:
     """Messages of known channels and schemas, with both."""
-    return messages.join(small(channels), "channel_id").join(small(schemas), "schema_id")
+    return messages.join(channels, "channel_id").join(schemas, "schema_id")
 
 
 def remapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """``column`` by mapping (old, new); an id without a new one raises an error."""
-    joined = df.join(small(mapping), F.col(column) == F.col("old"), "left")
+    joined = df.join(mapping, F.col(column) == F.col("old"), "left")
     known = F.when(F.col("new").isNull(), F.raise_error(F.concat(F.lit(f"unknown {column}: "), F.col(column).cast("string")))).otherwise(F.col("new"))
     return joined.withColumn(column, known).drop("old", "new")
 
 
 def of_channels(messages: DataFrame, channels: DataFrame, on: str) -> DataFrame:
-    return messages.join(small(channels.select(on)), on, "left_semi")
+    return messages.join(channels.select(on), on, "left_semi")
 
 
 def first_n(df: DataFrame, topic: list[str], order: list[str], n: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.bits import half_away, is_finite, voxel_key
+from pointweave.operators.order import indexed
 from pointweave.operators.sequence import inverse, quantise
 
 
@@ -67,6 +68,6 @@ def fields_as(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, value: str, prefix: str = "sample") -> DataFrame:
-    """df with ``name``: prefix and the row's place by ascending ``value``, from 0 on. For small reports."""
-    place = F.row_number().over(Window.orderBy(value, *[c for c in df.columns if c != value])) - 1
-    return df.withColumn("name", F.concat(F.lit(prefix), place.cast("string")))
+    """df with ``name``: prefix and the row's place by ascending ``value``, then by the other columns, from 0 on."""
+    own = indexed(df.withColumn("__one", F.lit(1)), ["__one"], [value, *[c for c in df.columns if c != value]], out="__place")
+    return own.withColumn("name", F.concat(F.lit(prefix), F.col("__place").cast("string"))).drop("__one", "__place")

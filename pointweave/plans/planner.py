@@ -3,18 +3,35 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import replace
 
 from pointweave.model import WIDE_INTS, Compression, Encoding, FieldType, Header, PointField
 from pointweave.operators.order import CHUNK
 
 
+#: Further ways to code a field, and the fields to which they apply; asked before the built-in choice.
+CHOICES: dict[str, Callable[[Header, PointField], bool]] = {}
+
+
+def register_choice(kind: str, applies: Callable[[Header, PointField], bool]) -> None:
+    CHOICES[kind] = applies
+
+
+def drop_choice(kind: str) -> None:
+    CHOICES.pop(kind)
+
+
+def chosen(header: Header, field: PointField) -> str | None:
+    return next((kind for kind, applies in CHOICES.items() if applies(header, field)), None)
+
+
 def leading_floats(header: Header) -> int:
     """How many lossy 32-bit floats stand first, if that is 3 or 4: those are coded together; else 0."""
     n = 0
     if header.encoding == Encoding.LOSSY:
         for f in header.fields:
-            if f.type != FieldType.FLOAT32 or f.resolution is None:
+            if f.type != FieldType.FLOAT32 or f.resolution is None or chosen(header, f):
                 break
             n += 1
     return n if n in (3, 4) else 0
@@ -23,11 +40,13 @@ def leading_floats(header: Header) -> int:
 def is_adaptive(header: Header) -> bool:
     """Whether integer fields get sections of their own, in the mode that is smallest."""
     rest = header.fields[leading_floats(header) :]
-    return header.version >= 5 and header.encoding == Encoding.LOSSY and any(f.type in WIDE_INTS for f in rest)
+    return header.version >= 5 and header.encoding == Encoding.LOSSY and any(f.type in WIDE_INTS and not chosen(header, f) for f in rest)
 
 
 def transform(header: Header, field: PointField, decoding: bool = False) -> str:
     """copy, ticks, xor, gorilla or delta. Decoding a 32-bit float takes its ticks from its resolution unless lossless."""
+    if own := chosen(header, field):
+        return own
     if header.encoding == Encoding.NONE:
         return "copy"
     if field.type == FieldType.FLOAT32:
@@ -50,7 +69,8 @@ def steps(header: Header) -> list[tuple[str, tuple[PointField, ...]]]:
     n, adaptive = leading_floats(header), is_adaptive(header)
     out = [("lanes", header.fields[:n])] if n else []
     for f in header.fields[n:]:
-        out.append(("section" if adaptive and f.type in WIDE_INTS else transform(header, f), (f,)))
+        section = adaptive and f.type in WIDE_INTS and not chosen(header, f)
+        out.append(("section" if section else transform(header, f), (f,)))
     return out
 
 
@@ -79,11 +99,11 @@ def max_size(header: Header, points: int, header_bytes: int = 0) -> int:
     integers are adaptive, of 32 bytes a field and 1024 more."""
     if header.point_step == 0:
         raise ValueError("point_step is 0")
-    per_point, total = sum(field_bound(f, header.encoding) for f in header.fields), header_bytes
+    per_point = sum(field_bound(f, header.encoding) for f in header.fields)
     slack = 32 * len(header.fields) + 1024 if is_adaptive(header) else 0
-    for at in range(0, points, CHUNK):
-        total += 4 + compressor_bound(min(CHUNK, points - at) * per_point + slack, header.compression)
-    return total
+    whole, rest = divmod(points, CHUNK)
+    chunk = lambda n: 4 + compressor_bound(n * per_point + slack, header.compression)
+    return header_bytes + whole * chunk(CHUNK) + (chunk(rest) if rest else 0)
 
 
 def apply_profile(header: Header, profile: dict[str, float], default: float | None = None) -> Header:

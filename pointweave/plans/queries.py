@@ -148,7 +148,7 @@ def q16_frozen_mode_from_probe(spark, sf_dir):
     own = table(spark, sf_dir, "lineitem").withColumn("cloud", F.lit(0))
     lines = chunked(indexed(own, ["cloud"], LINE_ORDER))
     modes = adaptive.frozen_mode(lines, "l_linenumber", ["cloud"], 4)
-    sizes = adaptive.section_sizes(lines, "l_linenumber", ["cloud"], 4).join(messages.small(modes), "cloud")
+    sizes = adaptive.section_sizes(lines, "l_linenumber", ["cloud"], 4).join(modes, "cloud")
     chain = F.when(F.col("mode") == adaptive.MODES[0], F.col(adaptive.MODES[0]))
     for m in adaptive.MODES[1:]:
         chain = chain.when(F.col("mode") == m, F.col(m))
@@ -292,7 +292,7 @@ def q36_message_totals(spark, sf_dir):
 def q37_channel_counts_by_schema(spark, sf_dir):
     own = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("schema_id")).agg(F.count("*").alias("channels"))
     names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("schema_id"), F.col("r_name").alias("schema_name"))
-    return own.join(messages.small(names), "schema_id").select("schema_name", "channels")
+    return own.join(names, "schema_id").select("schema_name", "channels")
 
 
 def q38_weighted_throughput(spark, sf_dir):

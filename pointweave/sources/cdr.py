@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field, replace
 
-from pointweave.functions import binary
+import numpy as np
+
+from pointweave.functions import binary, clouds
 from pointweave.model import Compression, Encoding, FieldType, Header, PointField
 
 #: The text in a compressed message's format field. Other names can be given.
@@ -124,8 +126,9 @@ def is_whole(cloud: Cloud) -> bool:
     return len(cloud.data) == cloud.width * cloud.height * cloud.point_step
 
 
-def to_compressed(raw: bytes, header: Header | None = None, *, format: str = FORMAT, magic: bytes = binary.MAGIC) -> bytes:
-    """A cloud message to a compressed one. The data's size counts, not the dimensions, if they differ."""
+def to_compressed(raw: bytes, header: Header | None = None, *, format: str = FORMAT, magic: bytes = binary.MAGIC, visual: bool = False) -> bytes:
+    """A cloud message to a compressed one. The data's size counts, not the dimensions, if they differ. visual: with a point a
+    voxel, as ``clouds.visual``."""
     cloud = decode(raw)
     header = header_of(cloud) if header is None else header
     if not cloud.data:
@@ -135,7 +138,13 @@ def to_compressed(raw: bytes, header: Header | None = None, *, format: str = FOR
     n = len(cloud.data) // cloud.point_step
     if not is_whole(cloud):
         header = replace(header, width=n, height=1)
-    blob = binary.encode_blob(header, cloud.data[: n * cloud.point_step], magic=magic)
+    data = cloud.data[: n * cloud.point_step]
+    if visual:
+        header, points = clouds.visual(header, binary.points_of(header, data))
+        if not header.points:
+            return encode(replace(cloud, data=b"", format=format, fields=header.fields, width=0, height=1))
+        data, cloud = np.ascontiguousarray(points), replace(cloud, width=header.width, height=header.height)
+    blob = binary.encode_blob(header, data, magic=magic)
     return encode(replace(cloud, data=blob, format=format, fields=header.fields))
 
 

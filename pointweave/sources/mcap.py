@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -49,6 +50,7 @@ class Container:
     channels: list[Channel] = field(default_factory=list)
     metadata: list[tuple[str, dict[str, str]]] = field(default_factory=list)
     attachments: list[tuple[int, int, str, str, bytes]] = field(default_factory=list)
+    profile: str = ""
 
 
 class Body:
@@ -141,24 +143,67 @@ def message_of(raw: bytes) -> Message:
     return Message(channel, sequence, log, publish, raw[22:])
 
 
-def read(raw: bytes) -> tuple[Container, list[Message]]:
-    """All of a file; repeated schemas and channels once."""
-    schemas, channels, out, messages = {}, {}, Container(), []
-    for op, body in all_records(raw):
-        if op == SCHEMA:
-            schemas.setdefault((s := schema_of(body)).id, s)
+class Definitions:
+    """Gathers all but messages from records; repeated schemas and channels once."""
+
+    def __init__(self):
+        self.schemas: dict[int, Schema] = {}
+        self.channels: dict[int, Channel] = {}
+        self.box = Container()
+
+    def add(self, op: int, body: bytes) -> None:
+        if op == HEADER:
+            self.box.profile = Body(body).text()
+        elif op == SCHEMA:
+            self.schemas.setdefault((s := schema_of(body)).id, s)
         elif op == CHANNEL:
-            channels.setdefault((c := channel_of(body)).id, c)
-        elif op == MESSAGE:
-            messages.append(message_of(body))
+            self.channels.setdefault((c := channel_of(body)).id, c)
         elif op == METADATA:
             b = Body(body)
-            out.metadata.append((b.text(), b.texts()))
+            self.box.metadata.append((b.text(), b.texts()))
         elif op == ATTACHMENT:
             b = Body(body)
-            out.attachments.append((b.number("Q"), b.number("Q"), b.text(), b.text(), b.block("Q")))
-    out.schemas, out.channels = [schemas[k] for k in sorted(schemas)], [channels[k] for k in sorted(channels)]
-    return out, messages
+            self.box.attachments.append((b.number("Q"), b.number("Q"), b.text(), b.text(), b.block("Q")))
+
+    def done(self) -> Container:
+        self.box.schemas = [self.schemas[k] for k in sorted(self.schemas)]
+        self.box.channels = [self.channels[k] for k in sorted(self.channels)]
+        return self.box
+
+
+def read(raw: bytes) -> tuple[Container, list[Message]]:
+    """All of a file."""
+    found, messages = Definitions(), []
+    for op, body in all_records(raw):
+        if op == MESSAGE:
+            messages.append(message_of(body))
+        else:
+            found.add(op, body)
+    return found.done(), messages
+
+
+def read_definitions(read_at, size: int) -> Container:
+    """All but the messages, a record at a time. Of chunks only those are opened that come before any schema or channel is
+    known from elsewhere. read_at(n, place) reads a part of the file."""
+    if size < 8 or read_at(8, 0) != MAGIC:
+        raise Broken("not an MCAP file")
+    found, at, chunks = Definitions(), 8, []
+    end = size - 8 if size >= 16 and read_at(8, size - 8) == MAGIC else size
+    while at + 9 <= end:
+        op, n = struct.unpack("<BQ", read_at(9, at))
+        if at + 9 + n > end:
+            raise Broken("a record is cut off")
+        if op == CHUNK:
+            chunks.append((at, n))
+        elif op in (HEADER, SCHEMA, CHANNEL, METADATA, ATTACHMENT):
+            found.add(op, read_at(n, at + 9))
+        at += 9 + n
+    if not found.channels:  # without a summary they are in the chunks alone
+        for at, n in chunks:
+            for op, body in records(body_of_chunk(read_at(n, at + 9))):
+                if op in (SCHEMA, CHANNEL):
+                    found.add(op, body)
+    return found.done()
 
 
 def chunk_ranges(read_at, size: int) -> list[tuple[int, int]] | None:
@@ -194,43 +239,60 @@ def texts(value: dict[str, str]) -> bytes:
     return struct.pack("<I", len(raw)) + raw
 
 
-def write(container: Container, messages: list[Message], *, compression: str = "zstd", chunk_bytes: int = 2 << 20) -> bytes:
-    """Schemas and channels in ascending order, messages in the given order, chunks of about ``chunk_bytes``, and a summary."""
-    out, index, known = bytearray(MAGIC + record(HEADER, text("") + text("pointweave"))), [], set()
-    schemas = sorted(container.schemas, key=lambda s: s.id)
-    channels = sorted(container.channels, key=lambda c: c.id)
-    defined = b"".join(record(SCHEMA, struct.pack("<H", s.id) + text(s.name) + text(s.encoding) + struct.pack("<I", len(s.data)) + s.data) for s in schemas)
-    defined += b"".join(record(CHANNEL, struct.pack("<HH", c.id, c.schema_id) + text(c.topic) + text(c.message_encoding) + texts(c.metadata)) for c in channels)
-    out += defined
-    known.update(c.id for c in channels)
-    held, times = bytearray(), []
+class Writer:
+    """Writes a container to ``out`` (anything with write) a message at a time: schemas and channels in ascending order first,
+    messages in chunks of about ``chunk_bytes``, then a summary. Holds a chunk and a row of the index for each chunk."""
 
-    def flush() -> None:
-        if not times:
-            return
-        raw = bytes(held)
-        packed = zstandard.ZstdCompressor(level=1).compress(raw) if compression == "zstd" else pa.Codec("lz4").compress(raw, asbytes=True) if compression == "lz4" else raw
-        low, high, place = min(times), max(times), len(out)
-        out.extend(record(CHUNK, struct.pack("<QQQI", low, high, len(raw), zlib.crc32(raw)) + text(compression) + struct.pack("<Q", len(packed)) + packed))
-        index.append(record(CHUNK_INDEX, struct.pack("<QQQQ", low, high, place, len(out) - place) + struct.pack("<IQ", 0, 0) + text(compression) + struct.pack("<QQ", len(packed), len(raw))))
-        held.clear()
-        times.clear()
+    def __init__(self, out, container: Container, *, compression: str = "zstd", chunk_bytes: int = 2 << 20):
+        self.out, self.box, self.compression, self.chunk_bytes = out, container, compression, chunk_bytes
+        self.at, self.index, self.held, self.times = 0, [], bytearray(), []
+        schemas, channels = sorted(container.schemas, key=lambda s: s.id), sorted(container.channels, key=lambda c: c.id)
+        self.known = {c.id for c in channels}
+        self.defined = b"".join(record(SCHEMA, struct.pack("<H", s.id) + text(s.name) + text(s.encoding) + struct.pack("<I", len(s.data)) + s.data) for s in schemas)
+        self.defined += b"".join(record(CHANNEL, struct.pack("<HH", c.id, c.schema_id) + text(c.topic) + text(c.message_encoding) + texts(c.metadata)) for c in channels)
+        self.put(MAGIC + record(HEADER, text(container.profile) + text("pointweave")) + self.defined)
 
-    for m in messages:
-        if m.channel_id not in known:
+    def put(self, raw: bytes) -> None:
+        self.out.write(raw)
+        self.at += len(raw)
+
+    def add(self, m: Message) -> None:
+        if m.channel_id not in self.known:
             raise ValueError(f"channel {m.channel_id} isn't defined")
-        held += record(MESSAGE, struct.pack("<HIQQ", m.channel_id, m.sequence, m.log_time, m.publish_time) + m.data)
-        times.append(m.log_time)
-        if len(held) >= chunk_bytes:
-            flush()
-    flush()
-    for log, created, name, media, data in container.attachments:
-        body = struct.pack("<QQ", log, created) + text(name) + text(media) + struct.pack("<Q", len(data)) + data
-        out += record(ATTACHMENT, body + struct.pack("<I", zlib.crc32(body)))
-    for name, values in container.metadata:
-        out += record(METADATA, text(name) + texts(values))
-    out += record(DATA_END, struct.pack("<I", 0))
-    summary = len(out)
-    out += defined + b"".join(index)
-    out += record(FOOTER, struct.pack("<QQI", summary if defined or index else 0, 0, 0)) + MAGIC
-    return bytes(out)
+        self.held += record(MESSAGE, struct.pack("<HIQQ", m.channel_id, m.sequence, m.log_time, m.publish_time) + m.data)
+        self.times.append(m.log_time)
+        if len(self.held) >= self.chunk_bytes:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.times:
+            return
+        raw, kind = bytes(self.held), self.compression
+        packed = zstandard.ZstdCompressor(level=1).compress(raw) if kind == "zstd" else pa.Codec("lz4").compress(raw, asbytes=True) if kind == "lz4" else raw
+        low, high, place = min(self.times), max(self.times), self.at
+        self.put(record(CHUNK, struct.pack("<QQQI", low, high, len(raw), zlib.crc32(raw)) + text(kind) + struct.pack("<Q", len(packed)) + packed))
+        self.index.append(record(CHUNK_INDEX, struct.pack("<QQQQ", low, high, place, self.at - place) + struct.pack("<IQ", 0, 0) + text(kind) + struct.pack("<QQ", len(packed), len(raw))))
+        self.held.clear()
+        self.times.clear()
+
+    def close(self) -> None:
+        self.flush()
+        for log, created, name, media, data in self.box.attachments:
+            body = struct.pack("<QQ", log, created) + text(name) + text(media) + struct.pack("<Q", len(data)) + data
+            self.put(record(ATTACHMENT, body + struct.pack("<I", zlib.crc32(body))))
+        for name, values in self.box.metadata:
+            self.put(record(METADATA, text(name) + texts(values)))
+        self.put(record(DATA_END, struct.pack("<I", 0)))
+        summary = self.at
+        self.put(self.defined + b"".join(self.index))
+        self.put(record(FOOTER, struct.pack("<QQI", summary if self.defined or self.index else 0, 0, 0)) + MAGIC)
+
+
+def write(container: Container, messages: list[Message], **options) -> bytes:
+    """A whole container in memory; options as for Writer."""
+    out = io.BytesIO()
+    writer = Writer(out, container, **options)
+    for m in messages:
+        writer.add(m)
+    writer.close()
+    return out.getvalue()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from pointweave.functions.binary import Broken
+from pointweave.functions.binary import Broken, encode_blob
 from pointweave.functions.text import PCD_TYPES, parse_pcd_header
-from pointweave.model import DTYPE, Header
+from pointweave.model import DTYPE, Compression, Encoding, FieldType, Header, enum_of
+from pointweave.plans import planner
 
 LETTER = {kind: letter_size for letter_size, kind in PCD_TYPES.items()}
 
@@ -42,3 +43,13 @@ def write(header: Header, points: np.ndarray, *, binary: bool = True) -> bytes:
     else:
         data = "".join(" ".join(str(points[f.name][k]) for f in header.fields) + "\n" for k in range(len(points))).encode()
     return "\n".join(head).encode() + b"\n" + data
+
+
+def to_blob(raw: bytes, *, resolution: float = 0.001, intensity: float | None = None, encoding: str = "LOSSY", compression: str = "ZSTD") -> bytes:
+    own, points = read(raw)
+    options = {"encoding": enum_of(Encoding, encoding), "compression": enum_of(Compression, compression)}
+    header = Header(own.fields, own.width, own.height, own.point_step, **options)
+    profile = {f.name: resolution for f in own.fields if f.type == FieldType.FLOAT32}
+    if intensity is not None and "intensity" in profile:
+        profile["intensity"] = intensity
+    return encode_blob(planner.apply_profile(header, profile) if options["encoding"] == Encoding.LOSSY else header, points)

@@ -1,6 +1,6 @@
 """Blobs, containers, messages and PCD files as tables, and back.
 
-Files are read by Spark's binaryFile source, from whatever store it opens. Chunks are separate rows as soon as they are cut
+Files are read by Spark's binaryFile source, from whatever store it opens, and written through PyArrow. Chunks are separate rows as soon as they are cut
 out of a file: encoding and decoding run a task per group of chunks, and a chunk has at most 32768 points.
 """
 
@@ -18,10 +18,12 @@ from pointweave.functions import binary
 from pointweave.functions.text import to_yaml
 from pointweave.model import DTYPE, FROM_SPARK, SPARK_TYPE, FieldType, Header, packed_fields
 from pointweave.operators.adaptive import PROBE
-from pointweave.operators.messages import small
 from pointweave.operators.order import CHUNK, chunked
 from pointweave.plans.planner import steps
 from pointweave.sources import cdr, mcap, pcd
+from pointweave.sources.convert import Conversion
+from pointweave.sources.stores import definitions_of, opened
+from pointweave.storage import written
 
 CHUNKS = "cloud long, chunk long, n long, stage1_bytes long, payload binary"
 
@@ -82,7 +84,7 @@ def encode_chunks(points: DataFrame, header: Header, cloud: str = "cloud", idx:
     rows = chunked(points.select(F.col(cloud).cast("long").alias("cloud"), F.col(idx).cast("long").alias(idx), *names), idx=idx)
     modes = modes_of(points, header, cloud, idx)
     if modes is not None:
-        rows = rows.join(small(modes), "cloud")
+        rows = rows.join(written(modes, "modes"), "cloud")  # of a size that the planner knows
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by(idx)
@@ -95,14 +97,15 @@ def encode_chunks(points: DataFrame, header: Header, cloud: str = "cloud", idx:
 
 
 def decode_chunks(chunks: DataFrame, header: Header, columns: list[str] | None = None) -> DataFrame:
-    """Points of (cloud, chunk, n, payload): cloud, idx and the fields, or only ``columns`` of them."""
+    """Points of (cloud, chunk, n, payload): cloud, idx and the fields, or only ``columns`` of them, the others passed over."""
     kept = replace(header, fields=tuple(f for f in header.fields if columns is None or f.name in columns))
+    wanted = None if columns is None else set(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("cloud", "chunk", "n", "payload")}
-                points = binary.open_chunk(header, row["payload"], row["n"])
+                points = binary.open_chunk(header, row["payload"], row["n"], wanted)
                 first = row["chunk"] * CHUNK
                 yield pa.RecordBatch.from_pydict({"cloud": pa.array(np.full(row["n"], row["cloud"], np.int64)), "idx": pa.array(np.arange(first, first + row["n"])), **to_arrow(points, kept)})
 
@@ -137,21 +140,100 @@ def split_blobs(df: DataFrame, cloud: str = "cloud", blob: str = "blob", *, magi
     return df.select(F.col(cloud).cast("long"), blob).mapInArrow(run, "cloud long, header string, chunk long, n long, payload binary")
 
 
+def register(spark: SparkSession) -> None:
+    from pointweave.sources import datasource
+
+    datasource.register(spark)
+
+
 def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
-def read_blob_headers(spark: SparkSession, path: str, glob: str = "*.cldn") -> DataFrame:
-    """path, header: from the first 64 kB of each file."""
+#: Bytes of a file that are read for its header at first; four times as many whenever it goes on.
+HEAD = 1 << 16
+
 
-    @F.udf("string")
-    def header(raw) -> str | None:
+def header_text(read_at, size: int) -> str | None:
+    """A blob's header, from as many bytes as it takes; null if there is none. read_at(n, place) reads a part of it."""
+    n = HEAD
+    while True:
         try:
-            return to_yaml(binary.decode_header(bytes(raw))[0], exact=True)
+            return to_yaml(binary.decode_header(read_at(min(n, size), 0))[0], exact=True)
         except (ValueError, KeyError):
-            return None
+            if n >= size:
+                return None
+            n *= 4
+
+
+def read_blob_headers(spark: SparkSession, path: str, glob: str = "*.cldn") -> DataFrame:
+    """path, header (null for a file without one). Spark lists the files; their first bytes alone are read, through PyArrow
+    (file, hdfs, s3, gs). Of other stores Spark reads the whole files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, inside = opened(name)
+                with store.open_input_file(inside) as file:
+                    found.append(header_text(lambda n, at, file=file: file.read_at(n, at), size))
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], ["path", "header"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0), batch.column(1), strict=True):
+                held = raw.as_py()
+                found = header_text(lambda n, at, held=held: held[at : at + n], len(held))
+                yield pa.record_batch([pa.array([name.as_py()]), pa.array([found], pa.string())], ["path", "header"])
+
+    listed = files(spark, path, glob)
+    if path.partition("://")[0] in ("file", "hdfs", "s3", "s3a", "gs") or "://" not in path:
+        return listed.select("path", "length").mapInArrow(run, "path string, header string")
+    return listed.select("path", "content").mapInArrow(whole, "path string, header string")
+
+
+def pcd_blobs(spark: SparkSession, path: str, glob: str = "*.pcd", **options) -> DataFrame:
+    """PCD files as blobs: path, name (of the blob's file), content, error; a file that can't be read has an error and no
+    content. options: as for ``pcd.to_blob``. Write them with ``save_files``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    made, error = pcd.to_blob(raw.as_py(), **options), None
+                except (ValueError, KeyError) as e:
+                    made, error = None, str(e) or type(e).__name__
+                own = name.rsplit("/", 1)[-1].rsplit(".", 1)[0] + ".cldn"
+                yield pa.record_batch([pa.array([name]), pa.array([own]), pa.array([made], pa.binary()), pa.array([error], pa.string())], ["path", "name", "content", "error"])
 
-    return files(spark, path, glob).select("path", header(F.substring("content", 1, 65536)).alias("header"))
+    return files(spark, path, glob).select("path", "content").mapInArrow(run, "path string, name string, content binary, error string")
+
+
+def save_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
+    """A file in ``folder`` for each row with content, in place of one that has its name; no file is seen half written."""
+    register(df.sparkSession)
+    rows = df.where(F.col(content).isNotNull()).select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    rows.write.format("pointweave_files").mode("append").save(folder)
+
+
+def convert_containers(spark: SparkSession, path: str, out: str, conversion: Conversion) -> None:
+    """Every container in ``path`` (a file or a folder) to one with its name in ``out``. Messages are read and converted a chunk
+    of a container to a task; each container is then written by one task, a chunk in memory at a time."""
+    register(spark)
+    messages = spark.read.format("pointweave_mcap").option("path", path).load()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: dict[str, set[int]] = {}
+        for batch in batches:
+            for name in set(batch.column(0).to_pylist()) - set(wanted):
+                wanted[name] = conversion.channels(definitions_of(path, name))
+            rows = zip(*(batch.column(k).to_pylist() for k in (0, 3, 7)), strict=True)
+            data = [conversion.message(raw) if channel in wanted[name] else raw for name, channel, raw in rows]
+            yield batch.set_column(7, "data", pa.array(data, pa.binary()))
+
+    made = messages.mapInArrow(run, messages.schema).repartition("path").sortWithinPartitions("path", "chunk", "ordinal")
+    options = {"like": path, "compression": conversion.compression, "swap": conversion.source}
+    made.write.format("pointweave_mcap").options(**options).mode("append").save(out)
 
 
 def read_pcd(spark: SparkSession, path: str, header: Header, glob: str = "*.pcd") -> DataFrame:
@@ -199,6 +281,17 @@ def mcap_rows(table: str, path: str, raw: bytes) -> Iterator[tuple]:
 
 def read_mcap(spark: SparkSession, path: str, table: str = "messages", glob: str = "*.mcap") -> DataFrame:
     """One of MCAP_TABLES. ``ordinal`` is a message's place in its file."""
+    return mcap_table(files(spark, path, glob), table)
+
+
+def stream_mcap(spark: SparkSession, path: str, table: str = "messages", glob: str = "*.mcap", files_per_batch: int = 16) -> DataFrame:
+    """As read_mcap, of the containers that come to a folder while the stream runs."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch)
+    return mcap_table(reader.load(path), table)
+
+
+def mcap_table(given: DataFrame, table: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -215,7 +308,7 @@ def read_mcap(spark: SparkSession, path: str, table: str = "messages", glob: str
                         rows = []
                 yield arrow_rows(rows, schema)
 
-    return files(spark, path, glob).select("path", "content").mapInArrow(run, MCAP_TABLES[table])
+    return given.select("path", "content").mapInArrow(run, MCAP_TABLES[table])
 
 
 def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -224,7 +317,11 @@ def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def convert_messages(messages: DataFrame, wanted: str, convert, data: str = "data", schema_name: str = "schema_name") -> DataFrame:
     """``data`` of messages with the schema ``wanted`` by convert(bytes); others go through as they are, in one scan."""
-    own = F.udf(lambda raw: None if raw is None else bytes(convert(bytes(raw))), "binary")
+
+    @F.arrow_udf("binary")
+    def own(column: pa.Array) -> pa.Array:
+        return pa.array([None if raw is None else convert(raw) for raw in column.to_pylist()], pa.binary())
+
     return messages.withColumn(data, F.when(F.col(schema_name) == wanted, own(F.when(F.col(schema_name) == wanted, F.col(data)))).otherwise(F.col(data)))
 
 
@@ -233,15 +330,23 @@ CLOUD = "stamp_sec int, stamp_nsec long, frame_id string, height long, width lon
 
 def parse_clouds(column, compressed: bool = False):
     """A column of messages as structs of CLOUD; null for a message that can't be read."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
 
-    @F.udf(CLOUD)
-    def parse(raw):
-        if raw is None:
-            return None
+    kind = to_arrow_type(StructType.fromDDL(CLOUD))
+
+    def one(raw: bytes | None) -> dict | None:
         try:
-            c = cdr.decode(bytes(raw), compressed)
+            c = None if raw is None else cdr.decode(raw, compressed)
         except (binary.Broken, ValueError):
+            c = None
+        if c is None:
             return None
-        return (c.stamp_sec, c.stamp_nsec, c.frame_id, c.height, c.width, [(f.name, f.offset, int(f.type), 1) for f in c.fields], c.is_bigendian, c.point_step, c.row_step, c.data, c.is_dense, c.format)
+        fields = [{"name": f.name, "offset": f.offset, "datatype": int(f.type), "count": 1} for f in c.fields]
+        return {f.name: fields if f.name == "fields" else getattr(c, f.name) for f in kind}
+
+    @F.arrow_udf(CLOUD)
+    def parse(messages: pa.Array) -> pa.Array:
+        return pa.array([one(raw) for raw in messages.to_pylist()], kind)
 
     return parse(column)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,12 +15,17 @@ def convert(messages: DataFrame, function: Callable[[bytes], bytes], data: str =
     """Each message's bytes by function, in a batch or a stream; with raw_bytes and out_bytes. Where it raises ValueError the
     data is null and ``error`` says why, so one bad message doesn't end a stream."""
 
-    @F.udf("struct<data:binary,error:string>")
-    def run(raw):
+    kind = pa.struct([("data", pa.binary()), ("error", pa.string())])
+
+    def one(raw: bytes | None) -> dict:
         try:
-            return (None if raw is None else bytes(function(bytes(raw)))), None
+            return {"data": None if raw is None else function(raw), "error": None}
         except ValueError as e:
-            return None, str(e)
+            return {"data": None, "error": str(e)}
+
+    @F.arrow_udf("struct<data:binary,error:string>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([one(raw) for raw in column.to_pylist()], kind)
 
     made = messages.withColumn("__made", run.asNondeterministic()(F.col(data))).withColumn("raw_bytes", F.length(data).cast("long"))
     made = made.withColumn(data, F.col("__made.data")).withColumn("error", F.col("__made.error")).drop("__made")

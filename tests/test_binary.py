@@ -194,3 +194,60 @@ def test_lz4_blocks():
 def test_fingerprint():
     assert B.fingerprint(b"") == 0xCBF29CE484222325 and B.fingerprint(b"a") == 0xAF63DC4C8601EC8C
     assert size_of(FieldType.UNKNOWN) == 0
+
+
+class Halves(B.Fixed):
+    """32-bit floats as 16-bit ones."""
+
+    def encode(self, values, field):
+        return B.fixed(values.astype("<f2"))
+
+    def reader(self, field):
+        def read(raw, at):
+            if at + 2 > len(raw):
+                raise B.Broken("points are cut off")
+            return int.from_bytes(raw[at : at + 2], "little"), at + 2
+
+        return read
+
+    def decode(self, codes, field):
+        return codes.astype("<u2").view("<f2").astype("<f4")
+
+
+def test_registered_coder():
+    fields, step = packed_fields([(n, FieldType.FLOAT32, 0.01) for n in "xyz"] + [("w", FieldType.FLOAT32, None), ("k", FieldType.INT32, None)])
+    header = Header(fields, 100, 1, step, compression=Compression.NONE)
+    points = np.zeros(100, header.dtype())
+    for n in "xyzw":
+        points[n] = np.arange(100) / 4
+    points["k"] = np.arange(100)
+    plain = B.encode_blob(header, points)
+    B.register_coder("halves", Halves(), lambda h, f: f.name in ("y", "w"))
+    try:
+        blob = B.encode_blob(header, points)
+        assert blob != plain and len(blob) < len(plain) + 200
+        back = B.decode_blob(blob)[1]
+        assert back["y"].tolist() == back["w"].tolist() == (np.arange(100) / 4).tolist() and back["k"].tolist() == list(range(100))
+        with pytest.raises(B.Broken):
+            B.decode_blob(blob[:-40])
+    finally:
+        B.unregister_coder("halves")
+    assert B.encode_blob(header, points) == plain
+
+
+@pytest.mark.parametrize("encoding", list(Encoding))
+@pytest.mark.parametrize("version", [4, 5])
+def test_fields_that_are_passed_over(encoding, version):
+    kinds = [("x", FieldType.FLOAT32, 0.01), ("t", FieldType.FLOAT64, None), ("k", FieldType.INT32, None), ("b", FieldType.UINT8, None)]
+    for some in (kinds, kinds[:1], kinds[2:3], kinds[1:2], kinds[3:]):
+        fields, step = packed_fields(some)
+        header = Header(fields, 50, 1, step, encoding, Compression.NONE, version=version)
+        points = np.zeros(50, header.dtype())
+        for f in fields:
+            points[f.name] = np.arange(50)
+        raw = B.encode_chunk(header, points, {})
+        whole = B.decode_chunk(header, raw, 50)
+        for f in fields:
+            part = B.decode_chunk(header, raw, 50, {f.name})
+            assert part[f.name].tolist() == whole[f.name].tolist()
+            assert all(not part[o.name].any() for o in fields if o != f)

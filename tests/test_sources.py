@@ -3,12 +3,14 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointweave import cli
-from pointweave.functions import binary, sqlfuncs, text
+from pointweave.functions import binary, clouds, sqlfuncs, text
 from pointweave.model import Compression, Encoding, FieldType, Header, PointField, enum_of, packed_fields
 from pointweave.plans import planner
-from pointweave.sources import cdr, datasource, mcap, pcd, tables
+from pointweave.sources import cdr, datasource, definitions, mcap, pcd, tables
+from pointweave.sources.convert import Conversion
 
 F32 = FieldType.FLOAT32
 
@@ -66,7 +68,7 @@ def test_messages():
 
 
 def container(n=6):
-    box = mcap.Container([mcap.Schema(2, "other", data=b"x"), mcap.Schema(1, cli.CLOUD)], [mcap.Channel(5, 1, "/lidar", metadata={"a": "b"}), mcap.Channel(3, 2, "/text"), mcap.Channel(9, 1, "/rear")], [("notes", {"k": "v"})], [(1, 2, "calib", "text/plain", b"abc")])
+    box = mcap.Container([mcap.Schema(2, "other", data=b"x"), mcap.Schema(1, cli.CLOUD)], [mcap.Channel(5, 1, "/lidar", metadata={"a": "b"}), mcap.Channel(3, 2, "/text"), mcap.Channel(9, 1, "/rear")], [("notes", {"k": "v"})], [(1, 2, "calib", "text/plain", b"abc")], "ros2")
     messages = []
     for k in range(n):
         messages.append(mcap.Message(5, k, 100 + k, 100 + k, cdr.encode(cloud(150, k))))
@@ -94,6 +96,129 @@ def test_mcap_round_trip(compression):
         mcap.write(box, [mcap.Message(77, 0, 0, 0, b"")])
 
 
+def test_transcoded_definitions():
+    box, messages = container()
+    raw = mcap.write(box, messages)
+    packed = cli.transcode(raw, encode=True)[0]
+    got = mcap.read(packed)[0]
+    assert got.profile == "ros2" and got.metadata == box.metadata
+    assert {s.name: s.data for s in got.schemas} == {"other": b"x", cli.COMPRESSED: definitions.COMPRESSED_TEXT.encode()}
+    back = mcap.read(cli.transcode(packed, encode=False)[0])[0]
+    assert {s.name: s.data for s in back.schemas} == {"other": b"x", cli.CLOUD: definitions.CLOUD_TEXT.encode()} and back.profile == "ros2"
+    assert "uint8[] compressed_data" in definitions.COMPRESSED_TEXT and "uint8[] data " in definitions.CLOUD_TEXT
+    read_at = lambda n, at: packed[at : at + n]
+    assert mcap.read_definitions(read_at, len(packed)) == got
+    bare = mcap.MAGIC + mcap.record(mcap.HEADER, mcap.text("p") + mcap.text(""))  # definitions in a chunk alone
+    inner = mcap.record(mcap.SCHEMA, b"\1\0" + mcap.text("n") + mcap.text("e") + mcap.text("d")) + mcap.record(mcap.CHANNEL, b"\2\0\1\0" + mcap.text("/t") + mcap.text("cdr") + mcap.texts({}))
+    bare += mcap.record(mcap.CHUNK, struct.pack("<QQQI", 0, 0, len(inner), 0) + mcap.text("") + struct.pack("<Q", len(inner)) + inner)
+    found = mcap.read_definitions(lambda n, at: bare[at : at + n], len(bare))
+    assert [c.topic for c in found.channels] == ["/t"] and found.schemas[0].data == b"d" and found.profile == "p"
+
+
+def test_visual(capsys, tmp_path):
+    """Non-finite points and second ones of a voxel go, in order; times get microseconds."""
+    fields, step = packed_fields([("x", F32, None), ("y", F32, None), ("z", F32, None), ("t", FieldType.FLOAT64, None)])
+    header = Header(fields, 7, 1, step)
+    points = np.zeros(7, header.dtype())
+    points["x"] = [0.0, np.nan, 1.0, 0.004, np.inf, 2.0, 1.0049]
+    points["y"], points["t"] = 5.0, 1.7e9 + np.arange(7) / 8
+    given = planner.apply_profile(header, {}, 0.01)
+    made, kept = clouds.visual(given, points)
+    assert kept["x"].tolist() == [0.0, 1.0, 2.0] and kept["t"].tolist() == [points["t"][k] for k in (0, 2, 5)]
+    assert (made.width, made.height) == (3, 1) and made.fields[3].resolution == float(np.float32(1e-6))
+    assert clouds.visual(header, points)[1] is points and clouds.visual(given, points[:0])[0] is given  # no geometry, no points
+    keys = clouds.voxel_keys(np.array([[0.5, -0.5, 1.25]], np.float32), 1.0).tolist()
+    assert keys == [(2**20 + 1) | (2**20 - 1) << 21 | (2**20 + 1) << 42]
+    cloud_of = cdr.Cloud(1, 2, "f", 1, 7, fields, False, step, 7 * step, points.tobytes(), True)
+    box = mcap.Container([mcap.Schema(1, cli.CLOUD)], [mcap.Channel(1, 1, "/a"), mcap.Channel(2, 1, "/b")])
+    raw = mcap.write(box, [mcap.Message(1, 0, 0, 0, cdr.encode(cloud_of)), mcap.Message(2, 0, 0, 0, cdr.encode(replace(cloud_of, data=b"", width=0)))])
+    got = mcap.read(cli.transcode(raw, encode=True, default=0.01, visual=True)[0])[1]
+    back = cdr.decode(cdr.from_compressed(got[0].data))
+    assert back.width == 3 and np.allclose(np.frombuffer(back.data, header.dtype())["x"], [0, 1, 2], atol=0.005)
+    assert cdr.decode(got[1].data, compressed=True).data == b""
+    everywhere_nan = np.full(7, np.nan, "<f4")
+    points["x"] = everywhere_nan
+    empty = cdr.to_compressed(cdr.encode(replace(cloud_of, data=points.tobytes())), given, visual=True)
+    assert cdr.decode(cdr.from_compressed(empty)).width == 0
+
+    (tmp_path / "a.mcap").write_bytes(raw)
+    assert cli.main(["benchmark", str(tmp_path / "a.mcap"), "--resolution", "0.01"]) == 0
+    out = capsys.readouterr().out
+    assert "/a codec: 1 messages, 7 points" in out and "TOTAL visual+zstd: 2 messages" in out and "MB/s" in out
+    assert cli.main(["benchmark", str(tmp_path / "a.mcap"), "--resolution", "0.01", "--explain"]) == 0
+    assert "/a: 7 points of 20 bytes, 3 for display" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("options", [{"encode": True, "profile": {"ring": 0.0}}, {"encode": True, "compression": ""}, {"encode": False}])
+def test_containers_on_spark_are_the_command_lines(spark, tmp_path, options):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, n in (("a.mcap", 6), ("deep/b.mcap", 40), ("c.mcap", 0)):
+        raw = mcap.write(*container(n), chunk_bytes=5000)
+        (tmp_path / "in" / name).write_bytes(raw if options["encode"] else cli.transcode(raw, encode=True)[0])
+    tables.convert_containers(spark, str(tmp_path / "in"), str(tmp_path / "out"), Conversion(**options))
+    made = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file())
+    assert made == ["a.mcap", "deep/b.mcap"]  # a container without messages has no rows
+    for name in made:
+        assert (tmp_path / "out" / name).read_bytes() == cli.transcode((tmp_path / "in" / name).read_bytes(), **options)[0]
+    one = str(tmp_path / "in" / "a.mcap")
+    tables.convert_containers(spark, one, str(tmp_path / "single"), Conversion(**options))
+    assert (tmp_path / "single" / "a.mcap").read_bytes() == (tmp_path / "out" / "a.mcap").read_bytes()
+
+
+def test_new_containers_and_failed_writes(spark, tmp_path):
+    datasource.register(spark)
+    box, messages = container(3)
+    rows = [(f"p{k % 2}.mcap", 0, k, m.channel_id, m.sequence, m.log_time, m.publish_time, m.data) for k, m in enumerate(messages)]
+    df = spark.createDataFrame(rows, datasource.SCHEMA).repartition("path").sortWithinPartitions("path", "ordinal")
+    save = lambda d: d.write.format("pointweave_mcap").option("definitions", datasource.definitions_json(box)).mode("append").save(str(tmp_path / "new"))
+    save(df)
+    for k in range(2):
+        got, own = mcap.read((tmp_path / "new" / f"p{k}.mcap").read_bytes())
+        assert own == messages[k::2] and got.profile == "ros2" and got.metadata == box.metadata
+    with pytest.raises(Exception, match="isn't defined"):
+        save(df.withColumn("channel_id", F.lit(77)))
+    assert sorted(p.name for p in (tmp_path / "new").iterdir()) == ["p0.mcap", "p1.mcap"]
+
+
+def test_containers_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.mcap").write_bytes(mcap.write(*container(k + 1)))
+    stream = tables.stream_mcap(spark, str(tmp_path / "in"), files_per_batch=1)
+    query = stream.writeStream.format("memory").queryName("arrivals").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.table("arrivals").count() == tables.read_mcap(spark, str(tmp_path / "in")).count() > 10
+
+
+def test_pcd_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.pcd").write_bytes(pcd_bytes(k % 2 == 0, 10 + k)[2])
+    (tmp_path / "in" / "bad.pcd").write_bytes(b"FIELDS x\nDATA nothing\n")
+    made = tables.pcd_blobs(spark, str(tmp_path / "in"), resolution=0.01)
+    assert made.where("error IS NOT NULL").count() == made.where("content IS NULL").count() == 1
+    tables.save_files(made, str(tmp_path / "out"))
+    tables.save_files(made, str(tmp_path / "out"))  # again, in their place
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["0.cldn", "1.cldn", "2.cldn"]
+    for k in range(3):
+        assert (tmp_path / "out" / f"{k}.cldn").read_bytes() == pcd.to_blob((tmp_path / "in" / f"{k}.pcd").read_bytes(), resolution=0.01)
+
+
+def test_long_headers(spark, tmp_path, monkeypatch):
+    names = [f"a_field_with_a_long_name_{k:05d}" for k in range(2000)]
+    fields, step = packed_fields([(n, F32, 0.5) for n in names])
+    raw = binary.encode_blob(Header(fields, 1, 1, step), np.zeros(1, Header(fields, 1, 1, step).dtype()))
+    assert raw.find(b"\0", 13) > 100_000
+    (tmp_path / "long.cldn").write_bytes(raw)
+    (tmp_path / "none.cldn").write_bytes(b"nothing")
+    old = binary.encode_blob(Header(fields[:3], 1, 1, 12, version=4), np.zeros(1, Header(fields[:3], 1, 1, 12).dtype()), text=False)
+    (tmp_path / "old.cldn").write_bytes(old)
+    got = {r["path"].rsplit("/", 1)[-1]: r["header"] for r in tables.read_blob_headers(spark, str(tmp_path)).collect()}
+    assert got["long.cldn"].count("type: FLOAT32") == 2000 and got["none.cldn"] is None and got["old.cldn"].count("type: FLOAT32") == 3
+    monkeypatch.setattr(tables, "HEAD", 20)
+    assert tables.header_text(lambda n, at: raw[at : at + n], len(raw)) == got["long.cldn"]
+
+
 def test_transcode_and_cut(tmp_path, capsys):
     box, messages = container()
     raw = mcap.write(box, messages)
