@@ -9,8 +9,10 @@ code points that at least ``min_docs`` documents hold lose all their lines, exce
    (levels of bit arrays; the rank of the set bit is the slot) that indexes arrays of 64-bit fingerprints, counts and
    largest ids. Hashes below the threshold can never drop a line: probing rejects them by their fingerprint.
 3. Documents probe the arrays. Up to ``broadcast_bytes`` (measured, not guessed) the shards are broadcast; beyond that
-   the documents' hashes go to the shards, salted (the more, the more documents share a line of the shard), and only the
-   hits come back to their documents.
+   the documents' hashes go to the shards, salted by the counted lines and by how many documents share a line of the
+   shard, and stream past the shard's arrays, which come first; only the hits come back to their documents.
+
+Ids are cast to bigint; ids of a type that has no such cast are Spark's error.
 
 Defined results: each input row is one document, so repeated rows count as often as they occur, and all rows that have
 the largest id keep their lines. A null id is smaller than every other. A null or empty text is one empty line. The
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import fresh, mix64, slices
+from pointweave.llm.common import few, fresh, mix64, slices
 from pointweave.storage import drop_written, written
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -207,6 +209,32 @@ def judge(texts: list, verdict, min_chars: int) -> list[dict]:
     return [dict(zip(("kept", "n_lines", "n_dropped"), drop_from(t, g), strict=True)) for t, g in zip(texts, gone, strict=True)]
 
 
+ARRAYS = ("words", "ends", "fingerprint", "count", "last")
+
+
+def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, hi, lo, id, arrays), a shard's arrays before the hashes that probe it, to hits (id, lo). A shard and a batch
+    are held at a time."""
+    at, shard = None, None
+    for batch in batches:
+        to = batch.column(0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
+        for a, b in zip(starts, [*starts[1:], len(to)], strict=True):
+            if to[a] != at:
+                at, shard = to[a], None
+            some = batch.slice(a, b - a)
+            arrays = some.filter(some.column(4).is_valid())
+            if arrays.num_rows:  # of several salts the same
+                shard = PerfectHash.of(arrays.slice(0, 1).to_pylist()[0])
+            probes = some.filter(some.column(4).is_null())
+            if shard is None or not probes.num_rows:
+                continue
+            hi, lo, ids = (probes.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+            slot = shard.find(hi.view(np.uint64), lo.view(np.uint64))
+            hit = (slot >= 0) & (shard.last[slot] != ids)
+            yield pa.record_batch([pa.array(ids[hit]), pa.array(lo[hit])], ["id", "lo"])
+
+
 RESULT_ARROW = pa.struct([("kept", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
 
@@ -243,24 +271,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return docs.withColumn(out, probe(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).alias(out))
 
     n_shards = index.n_shards
+    n_lines = docs.agg(F.sum(F.size(F.split(F.col(text_col).cast("string"), "\n")))).first()[0] or 0  # at least as many as probe
+    salts = max(salts, -(-n_lines // (n_shards * salt_rows)))
     probes = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     probes = probes.mapInArrow(emit(min_chars), "hi bigint, lo bigint, id bigint")
     # a shard with a line that very many documents share is dealt out further, by that line's count
     index_rows = index.table.withColumn("salts", F.greatest(F.lit(salts), F.ceil(F.col("most") / salt_rows)).cast("int"))
-    hot = index_rows.where(F.col("salts") > salts).select("shard", "salts")
-    probes = probes.withColumn("shard", shard_column(n_shards)).join(F.broadcast(hot) if hot.limit(100_001).count() <= 100_000 else hot, "shard", "left")
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(salts))).cast("int")).drop("salts")
-    index_rows = index_rows.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
-
-    def route(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        hits = left.slice(0, 0)
-        if right.num_rows and left.num_rows:
-            shard = PerfectHash.of(right.to_pylist()[0])
-            at = shard.find(*(left.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")))
-            hits = left.filter(pa.array((at >= 0) & (shard.last[at] != left.column("id").to_numpy())))
-        return hits.select(["id", "lo"])
-
-    hits = probes.groupBy("shard", "salt").cogroup(index_rows.groupBy("shard", "salt")).applyInArrow(route, "id bigint, lo bigint")
+    hot = written(index_rows.where(F.col("salts") > salts).select("shard", "salts"), "lineshot")
+    probes = probes.withColumn("shard", shard_column(n_shards)).join(few(hot), "shard", "left")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("id", "hi"), F.coalesce("salts", F.lit(salts))).cast("int")).drop("salts")
+    index_rows = index_rows.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts", "most")
+    # both kinds of rows in one stream, a shard's arrays before its probes
+    both = probes.unionByName(index_rows, allowMissingColumns=True)
+    dealt = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("words").isNull())
+    hits = dealt.select("shard", "hi", "lo", "id", *ARRAYS).mapInArrow(route, "id bigint, lo bigint")
     key, gone = fresh(docs, "line_owner"), fresh(docs, "line_hits")
     hits = hits.groupBy("id").agg(F.collect_set("lo").alias(gone)).withColumnRenamed("id", key)
 

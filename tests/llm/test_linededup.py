@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pointweave.llm import linededup
@@ -47,6 +48,34 @@ def test_against_brute_force(docs_of, broadcast_bytes, shard_keys):
     assert any(r[3] for r in got) and {"words", "mark"} <= set(found.columns)
 
 
+def test_a_shard_streams():
+    """Arrays first, then any number of hashes, a batch at a time; salts repeat the arrays."""
+    rng = np.random.default_rng(2)
+    hi, lo = rng.integers(0, 2**63, 500), rng.integers(0, 2**63, 500)
+    shards = [PerfectHash.build(hi[k::2].view(np.uint64), lo[k::2].view(np.uint64), np.full(250, 9), np.full(250, 5 + k)).row() for k in range(2)]
+    kinds = {"shard": pa.int32(), "hi": pa.int64(), "lo": pa.int64(), "id": pa.int64(), **dict.fromkeys(linededup.ARRAYS, pa.binary())}
+    rows = []
+    for k in range(2):
+        rows += [{"shard": k, **shards[k]}] * 2
+        for i in range(3000):
+            at = int(rng.integers(0, 500))  # also of the other shard: no hit
+            rows.append({"shard": k, "hi": int(hi[at]), "lo": int(lo[at]), "id": i % 10})
+    want = sorted((r["id"], r["lo"]) for r in rows if "id" in r and r["lo"] in lo[r["shard"] :: 2] and r["id"] != 5 + r["shard"])
+    whole = pa.Table.from_pylist(rows, pa.schema(list(kinds.items())))
+    for size in (1, 100, 10**6):
+        got = [tuple(r.values()) for b in linededup.route(iter(whole.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted(got) == want and want
+
+
+def test_hot_lines_are_salted_by_their_number(docs_of, spark):
+    """One shared line in all documents, few keys: the groups that a task holds don't grow with the documents."""
+    rows = [(k, "the one line that all documents share here\nand a line of its own for " + str(k) * 12) for k in range(400)]
+    docs = docs_of(rows)
+    found = linededup.dedup_lines(docs, min_docs=5, broadcast_bytes=0, salts=2, salt_rows=20)
+    got = {r["doc_id"]: r["lines"]["n_dropped"] for r in found.collect()}
+    assert got == {k: int(k != 399) for k in range(400)}
+
+
 def test_empty_table(docs_of):
     assert linededup.dedup_lines(docs_of([])).collect() == []
     assert linededup.dedup_lines(docs_of([]), broadcast_bytes=-1).collect() == []
