@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pointweave.llm import latin
-from pointweave.llm.common import TwoGenerations, slices
+from pointweave.llm.common import TwoGenerations, batched
 
 NONE = np.int64(2**62)
 SIZES, ROWS = (8, 16, 32, 64), 8192
@@ -84,39 +85,52 @@ class Ranks:
 
     # one pre-token
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> array:
+        """The tree, the live neighbours and the ids are flat arrays: a node is rank * size + position, the least of which is the
+        least rank's leftmost position."""
         n = len(piece)
         size = 1 << max(1, (n - 1).bit_length())
-        none = (1 << 62, 0)
-        get = lambda a, b: self.rank.get(piece[a:b], 1 << 62) if b - a <= self.longest else 1 << 62
-        tree = [none] * size + [(get(i, i + 2), i) if i + 1 < n else none for i in range(n)] + [none] * (size - n)
-        for i in range(size - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int, rank: int) -> None:
+        none, rank_of, longest = 1 << 62, self.rank.get, self.longest
+        leaves = np.full(size, none, np.int64)
+        if n > 1:
+            ids = self.byte_rank[np.frombuffer(piece, np.uint8)]
+            ranks = self.of_pairs(ids[:-1], ids[1:])
+            leaves[: n - 1] = np.where(ranks < NONE, ranks * size + np.arange(n - 1), NONE)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = array("q", np.concatenate([np.zeros(1, np.int64), *levels[::-1]]).tobytes())
+        del leaves, levels
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+
+        def put(i: int, value: int) -> None:
             k = i + size
-            tree[k] = (rank, i) if rank < 1 << 62 else none
+            tree[k] = value
             while k > 1:
+                value = tree[k ^ 1] if tree[k ^ 1] < value else value
                 k >>= 1
-                low = min(tree[2 * k], tree[2 * k + 1])
-                if tree[k] == low:
+                if tree[k] == value:
                     break
-                tree[k] = low
+                tree[k] = value
 
-        while tree[1][0] < 1 << 62:
-            p = tree[1][1]
+        def pair(i: int, end: int) -> int:
+            rank = rank_of(piece[i:end]) if end - i <= longest else None
+            return none if rank is None else rank * size + i
+
+        while (root := tree[1]) < none:
+            p = root % size
             q = after[p]
             end = after[p] = after[q]
-            put(q, 1 << 62)
+            put(q, none)
             if end < n:
                 before[end] = p
-                put(p, get(p, after[end]))
+                put(p, pair(p, after[end]))
             else:
-                put(p, 1 << 62)
-            if (o := before[p]) >= 0:
-                put(o, get(o, end))
-        out, p = [], 0
+                put(p, none)
+            o = before[p]
+            if o >= 0:
+                put(o, pair(o, end))
+        out, p = array("i"), 0
         while p < n:
             out.append(self.rank[piece[p : after[p]]])
             p = after[p]
@@ -204,14 +218,7 @@ class Encoder(TwoGenerations):
         return self.find_any(text) if self.find_plain is None or latin.BEYOND(text) else self.find_plain(text)
 
     def learn(self, pieces: set[str]) -> None:
-        new = []
-        for p in pieces:
-            if p not in self:
-                known = self.old.get(p)
-                if known is None:
-                    new.append(p)
-                else:
-                    self[p] = known
+        new = self.unknown(pieces)
         self.update(zip(new, self.ranks.encode_pieces(new), strict=True))
 
     def encode(self, texts: list) -> list[np.ndarray]:
@@ -230,20 +237,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def batched(texts: pa.Array, chars: int = 1 << 20):
-    """Some hundred texts at a time, fewer if they are long."""
-    for part in slices(texts):
-        some, held = [], 0
-        for t in part:
-            some.append(t)
-            held += len(t or "")
-            if held > chars:
-                yield some
-                some, held = [], 0
-        if some:
-            yield some
-
-
 def encode(text: Column, path: str, pattern: str) -> Column:
     """The ids of a text, as an array of int."""
 

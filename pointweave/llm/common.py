@@ -36,31 +36,51 @@ def slices(array: pa.Array) -> Iterator[list]:
         yield array.slice(at, SLICE_ROWS).to_pylist()
 
 
+def batched(texts: pa.Array, chars: int = 1 << 20):
+    """Some hundred texts at a time, fewer if they are long."""
+    for part in slices(texts):
+        some, held = [], 0
+        for t in part:
+            some.append(t)
+            held += len(t or "")
+            if held > chars:
+                yield some
+                some, held = [], 0
+        if some:
+            yield some
+
+
 class TwoGenerations(dict):
-    """A bounded cache: at ``limit`` entries the young become the old, and the old ones go.
+    """A cache that is bounded in entries and, as long keys stay only until ``rotate``, in bytes: at ``limit`` entries the young
+    become the old, and the old ones go. What goes is computed anew, so results never depend on the limits."""
 
-    Subclasses give ``compute(key)``. What is dropped is computed anew, so results never depend on the limit.
-    """
+    LONGEST = 64
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old = limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        self[key] = value
-        return value
+        self.limit, self.old, self.passing = limit, {}, []
+
+    def unknown(self, keys) -> list:
+        """Those of the distinct keys that aren't in the cache; old ones become young."""
+        new = []
+        for k in keys:
+            if k not in self:
+                known = self.old.get(k)
+                if known is None:
+                    new.append(k)
+                else:
+                    self[k] = known
+        self.passing += [k for k in new if len(k) > self.LONGEST]
+        return new
 
     def rotate(self) -> None:
+        for k in self.passing:
+            self.pop(k, None)
+        self.passing = []
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
 
-    def compute(self, key):
-        raise NotImplementedError
-
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers (public domain constants of MurmurHash3)."""

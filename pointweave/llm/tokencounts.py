@@ -2,18 +2,21 @@
 
 A pre-token is a word (a run of other than ``[\\x20\\x09-\\x0D]``) behind the piece that marks a word's start. Its
 segmentation is the one of the greatest sum of piece scores, of equal ones the one of fewest pieces. A forward score
-depends on the characters up to its place only, so the distinct pre-tokens of some hundred documents are inserted into a
-trie whose nodes hold the forward score and the number of pieces of their prefix: a shared prefix is computed once, and a
-pre-token's count stands at its terminal node. Terminal counts are kept; a document is a sum of them.
+depends on the characters up to its place only, so the distinct pre-tokens of all documents that a worker sees are inserted
+into a trie whose nodes hold the forward score and the number of pieces of their prefix: a shared prefix is computed once, and
+a pre-token's count stands at its terminal node. Terminal counts are kept; a document is a sum of them.
 
-The pieces are those of a public sentencepiece vocabulary, which orders them by rank but has no unigram scores. By Zipf's
-law the k-th piece's log-probability is about -log(k + 1); scores are that, in whole thousandths, so sums are exact. A
-character that no piece covers is its UTF-8 bytes, a piece each, each scored ``BYTE_COST`` below zero.
+The pieces are those of a public sentencepiece vocabulary, which orders them by rank but has no unigram scores; tokenizers
+aren't trained here, so none are fitted. By Zipf's law the k-th piece's log-probability is about -log(k + 1); scores are that,
+in whole thousandths, so sums are exact. A character that no piece covers is its UTF-8 bytes, a piece each, each scored
+``BYTE_COST`` below zero.
 
-What a worker keeps is bounded; what falls out is computed anew, so counts don't depend on it. Everything is local to a
-row: no shuffle, and a word that all documents share costs one computation per worker.
+What a worker keeps is bounded: the trie is begun anew at ``NODES`` nodes, terminal counts are a cache. What goes is computed
+anew, so counts don't depend on it. Everything is local to a row: no shuffle, and a word that all documents share costs one
+computation per worker.
 
-Defined results: a null or empty text has no words and no tokens. Repeated rows get a row each; other columns don't matter.
+Defined results: a null or empty text has no words and no tokens. Rows are independent of each other, so repeated rows get a
+row each, and ids (null ones too) and other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import TwoGenerations, slices
+from pointweave.llm.common import TwoGenerations, batched
 
 MARK = "▁"
 BYTE_COST = 20_000
-#: Pre-tokens whose counts a worker keeps, twice; bits of a sum that hold the pieces.
-CACHE, PIECE_BITS = 400_000, 40
+#: Pre-tokens whose counts a worker keeps, twice; nodes of its trie; bits of a sum that hold the pieces.
+CACHE, NODES, PIECE_BITS = 400_000, 100_000, 40
 RESULT = "struct<n_words:bigint,n_tokens:bigint,cost:bigint>"
 
 
@@ -61,54 +64,59 @@ class Pieces:
             self.whole[at] = cost
 
 
-class Terminals(TwoGenerations):
-    """Pre-token (as bytes, without its mark) to its terminal node's cost, shifted, and number of pieces.
+class Trie:
+    """Prefixes of pre-tokens. A node has the cost and pieces of its prefix, and the vocabulary's pieces that may still go on
+    behind it, each as the node where it begins and its place in the vocabulary."""
+
+    def __init__(self, vocabulary: Pieces):
+        self.vocabulary = vocabulary
+        self.child: dict[int, int] = {}
+        self.cost, self.pieces, self.going = [0], [0], [()]
+
+    def insert(self, text: str) -> int:
+        """The text's terminal node."""
+        at, get = 0, self.child.get
+        for char in text:
+            code = ord(char)
+            to = get(at << 21 | code)
+            at = self.grow(at, char, code) if to is None else to
+        return at
+
+    def grow(self, at: int, char: str, code: int) -> int:
+        step, whole, costs, pieces = self.vocabulary.step.get, self.vocabulary.whole, self.cost, self.pieces
+        n = 1 if code < 128 else len(char.encode())
+        best, count, open_ = costs[at] + n * BYTE_COST, pieces[at] + n, []
+        for begin, place in (*self.going[at], (at, 0)):
+            place = step(place << 21 | code)
+            if place is not None:
+                open_.append((begin, place))
+                own = whole[place]
+                if own is not None:
+                    own += costs[begin]
+                    if own < best or own == best and pieces[begin] + 1 < count:
+                        best, count = own, pieces[begin] + 1
+        node = self.child[at << 21 | code] = len(costs)
+        costs.append(best)
+        pieces.append(count)
+        self.going.append(tuple(open_))
+        return node
+
 
-    ``learn`` inserts distinct pre-tokens into a trie, in sorted order, depth first: a node's children follow it, so only
-    the nodes of the current path are held. A node has the cost and pieces of its prefix, and the vocabulary's pieces that
-    may still go on behind it, each as the depth where it begins and its place.
-    """
+class Terminals(TwoGenerations):
+    """Pre-token (as bytes, without its mark) to its terminal node's cost, shifted, and number of pieces."""
 
-    def __init__(self, costs: dict[str, int], limit: int = CACHE):
+    def __init__(self, costs: dict[str, int], limit: int = CACHE, nodes: int = NODES):
         super().__init__(limit)
-        self.vocabulary = Pieces(costs)
+        self.vocabulary, self.nodes = Pieces(costs), nodes
+        self.trie = Trie(self.vocabulary)
 
     def learn(self, words: set[bytes]) -> None:
-        new = []
-        for w in words:
-            if w not in self:
-                known = self.old.get(w)
-                if known is None:
-                    new.append(w)
-                else:
-                    self[w] = known
-        new.sort()
-        step, whole = self.vocabulary.step.get, self.vocabulary.whole
-        path, cost, pieces, going = "", [0], [0], [()]
-        for raw in new:
-            text = MARK + raw.decode()
-            depth, most = 0, min(len(path), len(text))
-            while depth < most and path[depth] == text[depth]:
-                depth += 1
-            del cost[depth + 1 :], pieces[depth + 1 :], going[depth + 1 :]
-            for at in range(depth, len(text)):
-                code = ord(text[at])
-                n = 1 if code < 128 else len(text[at].encode())
-                best, count, open_ = cost[at] + n * BYTE_COST, pieces[at] + n, []
-                for begin, place in (*going[at], (at, 0)):
-                    place = step(place << 21 | code)
-                    if place is not None:
-                        open_.append((begin, place))
-                        own = whole[place]
-                        if own is not None:
-                            own += cost[begin]
-                            if own < best or own == best and pieces[begin] + 1 < count:
-                                best, count = own, pieces[begin] + 1
-                cost.append(best)
-                pieces.append(count)
-                going.append(open_)
-            path = text
-            self[raw] = cost[-1] << PIECE_BITS | pieces[-1]
+        for raw in self.unknown(words):
+            if len(self.trie.cost) > self.nodes:
+                self.trie = Trie(self.vocabulary)
+            trie = self.trie if len(raw) <= self.LONGEST else Trie(self.vocabulary)  # a long one's nodes go at once
+            end = trie.insert(MARK + raw.decode())
+            self[raw] = trie.cost[end] << PIECE_BITS | trie.pieces[end]
 
     def count(self, texts: list) -> list[tuple[int, int, int]]:
         self.rotate()
@@ -130,7 +138,7 @@ def token_counts(text: Column, path: str) -> Column:
     @F.arrow_udf(RESULT)
     def unigram_counts(texts: pa.Array) -> pa.Array:
         own = terminals(path)
-        rows = [r for part in slices(texts) for r in own.count(part)]
+        rows = [r for part in batched(texts) for r in own.count(part)]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["n_words", "n_tokens", "cost"])
 
     return unigram_counts(text.cast("string"))

@@ -12,14 +12,16 @@ nothing. Each plane is a zstandard frame. The layout, integers little-endian:
 
 The index lets a reader open any block, and so any document, alone.
 
-Documents are range-partitioned by id and sorted, each partition is one file, and files in the order of their partitions
-hold the documents in ascending order. Only a row per file reaches the driver, for the running number of ids.
+Documents are range-partitioned by id and the text's hash (so rows of one id are dealt out too) and sorted, and each partition
+gives one file or more: a file is closed at ``roll_ids`` ids or ``roll_docs`` documents, so neither it nor the index in memory
+grows with the partition. Files in the order of their partitions hold the documents in ascending order. Only a row per file
+reaches the driver, for the running number of ids.
 
 Encoding cuts texts into pieces (the tokenizer drops white space and never joins over it), has the library encode each
 piece that its worker's bounded cache lacks, many joined by blanks at a time, and puts the ids together again.
 
 Defined results: a null or empty text has the end id only. A null id comes first. Rows with equal ids are ordered by their
-texts and keep a row each. Only the id and text columns are read.
+texts' hashes, then by their texts, and keep a row each. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -192,17 +194,6 @@ class WordEncoder(TwoGenerations):
         plain = latin.plain_pattern(splits[0]["pattern"].get("Regex", "\\"))
         return re.compile(plain).findall if plain else None
 
-    def unknown(self, pieces: set[str]) -> list[str]:
-        new = []
-        for p in pieces:
-            if p not in self:
-                known = self.old.get(p)
-                if known is None:
-                    new.append(p)
-                else:
-                    self[p] = known
-        return new
-
     def encode_single(self, pieces: list[str]) -> list[bytes]:
         """Each is one pre-token, whose last id alone ends a word."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
@@ -248,34 +239,45 @@ def word_encoder(path: str) -> WordEncoder:
 # Spark
 
 
-def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, folder: str | None = None, block_ids: int = 1 << 16, bits: int = 1, level: int = 3) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, folder: str | None = None, block_ids: int = 1 << 16, bits: int = 1, level: int = 3, roll_ids: int = 1 << 26, roll_docs: int = 1 << 17) -> DataFrame:
     """Write all documents' ids to files in ``folder`` (a new one in the shared folder) and return the manifest:
     folder, name, n_docs, start (ids in all files before), n_ids; a row per file in ascending order."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "ids")
 
+    kinds = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, name, n_ids, out = None, own_name("ids"), 0, None
+        writer, out, n_ids, done = None, None, 0, 0
         coder, end = word_encoder(tokenizer), np.array([end_id], np.uint32)
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            row = {"part": TaskContext.get().partitionId(), "file": done, "name": name, "n_docs": len(writer.docs), "n_ids": n_ids}
+            return pa.RecordBatch.from_pylist([row], kinds)
+
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for part in slices(batch.column(1)):
-                if writer is None and part:
-                    out = Folder(folder).write(name)
-                    writer = Writer(out, block_ids, bits, level)
                 for found in coder.encode(part):
+                    if writer is None:
+                        name = own_name("ids")
+                        out = Folder(folder).write(name)
+                        writer, n_ids = Writer(out, block_ids, bits, level), 0
                     writer.add(ids[at], np.concatenate([found, end]))
                     n_ids += len(found) + 1
                     at += 1
+                    if n_ids >= roll_ids or len(writer.docs) >= roll_docs:
+                        yield closed()
+                        writer, done = None, done + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            row = {"part": TaskContext.get().partitionId(), "name": name, "n_docs": len(writer.docs), "n_ids": n_ids}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield closed()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    manifest = written(dealt.mapInArrow(run, "part int, name string, n_docs bigint, n_ids bigint"), "idfiles")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
+    manifest = written(dealt.mapInArrow(run, "part int, file int, name string, n_docs bigint, n_ids bigint"), "idfiles")
     found, start, out = sorted(manifest.collect()), 0, []  # a row per file
     drop_written(manifest)
     for r in found:

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -41,7 +42,7 @@ def test_bpe_rows_equal_one_tree():
     ranks, r = bpe.Ranks(BYTE), random.Random(2)
     for size in bpe.SIZES:
         pieces = [bytes(r.choice(b"theandingerst \xc3\xa9") for _ in range(r.randint(1, size))) for _ in range(300)]
-        assert [np.frombuffer(x, "<i4").tolist() for x in ranks.merge_rows(pieces, size)] == [ranks.merge(p) for p in pieces]
+        assert [np.frombuffer(x, "<i4").tolist() for x in ranks.merge_rows(pieces, size)] == [ranks.merge(p).tolist() for p in pieces]
 
 
 def test_bpe_cache_may_be_tiny(tik):
@@ -97,12 +98,17 @@ def test_no_documents():
     assert list(tokenfiles.Reader(file).documents()) == []
 
 
+def hash_of(text):
+    """Spark's xxhash64 of a text, signed."""
+    return np.array([xxhash.xxh64_intdigest((text or "").encode(), 42)], np.uint64).view(np.int64)[0]
+
+
 def test_token_files(spark, sf_dir, docs_of):
     library = Tokenizer.from_file(WORD)
     odd = docs_of([(3, "b a"), (3, "a"), (1, None), (2, ""), (None, "x"), (5, "word " * 60_000)])
     for frame in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd, docs_of([])):
         for bits in (1, 8):
-            rows = sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1]))
+            rows = sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=lambda r: (r[0] is not None, r[0], hash_of(r[1]), r[1] or ""))
             start, want = 0, []
             for i, t in rows:
                 ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -136,4 +142,55 @@ def test_token_counts(spark, sf_dir, docs_of):
     frame = docs_of([(k, t) for k, t in enumerate(texts)])
     found = frame.select("doc_id", tokencounts.token_counts(F.col("text"), PIECE).alias("c")).select("doc_id", "c.*").collect()
     assert sorted(tuple(r) for r in found) == [(k, *row) for k, row in enumerate(got)]
-    assert queries.op8_token_counts(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    tiny = tokencounts.Terminals(costs, limit=3, nodes=10)
+    assert [r for t in texts for r in tiny.count([t])] == got
+
+
+def test_token_counts_query(spark, sf_dir):
+    costs, known = tokencounts.load_costs(PIECE), {}
+    want = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        words = (r["text"] or "").encode().split()
+        for w in set(words) - set(known):
+            known[w] = brute_count(w.decode(), costs)
+        want.append((r["doc_id"], len(words), sum(known[w][1] for w in words), sum(known[w][0] for w in words)))
+    assert sorted(tuple(r) for r in queries.op8_token_counts(spark, sf_dir).collect()) == sorted(want)
+
+
+def test_token_counts_edges(docs_of):
+    count = lambda df: sorted((tuple(r) for r in df.select("doc_id", tokencounts.token_counts(F.col("text"), PIECE).alias("c")).select("doc_id", "c.*").collect()), key=str)
+    assert count(docs_of([])) == []
+    long = "word " * 100_000 + "x" * 700
+    rows = count(docs_of([(None, "a b"), (3, "a b"), (3, "a b"), (4, None), (5, ""), (6, " \n\t"), (7, long)]))
+    costs = tokencounts.load_costs(PIECE)
+    ab, last = [brute_count(w, costs) for w in ("a", "b")], [brute_count("word", costs)] * 100_000 + [brute_count("x" * 700, costs)]
+    total = lambda found: (len(found), sum(p for _, p in found), sum(c for c, _ in found))
+    assert rows == sorted([(None, *total(ab)), (3, *total(ab)), (3, *total(ab)), (4, 0, 0, 0), (5, 0, 0, 0), (6, 0, 0, 0), (7, *total(last))], key=str)
+
+
+def test_files_roll_and_ids_repeat(spark, docs_of):
+    """Small files, rows of one id in several tasks, and what the files hold one after the other."""
+    rows = [(7, f"word {k} of many") for k in range(300)] + [(None, "x")] * 20 + [(k, "a b") for k in range(30)]
+    library = Tokenizer.from_file(WORD)
+    for limits in ({"roll_docs": 7}, {"roll_ids": 50}):
+        manifest = tokenfiles.write_ids(docs_of(rows).repartition(4), WORD, bits=8, **limits)
+        files = manifest.orderBy("start").collect()
+        assert sum(f["n_docs"] for f in files) == 350 and len(files) > 40
+        assert all(f["n_docs"] <= 7 if "roll_docs" in limits else f["n_ids"] < 60 for f in files)
+        got = tokenfiles.read_ids(manifest).orderBy("start").collect()
+        assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+        ids = [r["doc_id"] for r in got]
+        assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+        crcs = sorted(zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t in rows)
+        assert sorted(r["ids_crc32"] for r in got) == crcs
+
+
+def test_long_pre_tokens_leave_the_caches(tik):
+    own, words = bpe.Encoder(BYTE, P.PATTERN), tokenfiles.WordEncoder(WORD)
+    for k in range(20):
+        text = "x" * (5000 + k) + " short"
+        assert own.encode([text])[0].tolist() == tik.encode_ordinary(text)
+        words.encode([text])
+    for cache in (own, words):
+        cache.rotate()
+        assert max(map(len, cache)) <= cache.LONGEST
