@@ -4,19 +4,21 @@ Two texts link if their sets of distinct shingles have a Jaccard similarity of 4
 the groups. A bit of a fingerprint is 1 if it is set in over half of the set's hashes. Two sets of equal size and similarity 4/5
 have a cosine of 8/9, so each bit differs with a probability of acos(8/9) / pi = 0.15: of 64 bits some 10 differ, at which no
 segment of useful length is sure to be equal or one bit apart. So a fingerprint has as many bits as it takes: it is cut into
-segments of L bits, more than twice as many values as there are texts, and so many segments that a pair at the threshold has
-one that differs by at most a bit with a probability of ``RECALL`` (25 segments of 20 bits for up to 260,000 texts; pairs of
-greater similarity are met all the more, and groups are held together by many links).
+segments whose length L follows the logarithm of the number of texts, so that a variant has some eight unrelated ones, and so
+many segments that a pair at the threshold has one that differs by at most a bit with a probability of ``RECALL`` (17 segments
+of 16 bits for up to 260,000 texts; pairs of greater similarity are met all the more, and groups are held together by many
+links). It has ``LANES`` words of 64 bits at least.
 
 Index: a segment that is equal is a key itself; one that differs by a bit is met as one of its one-wildcard variants. To shuffle
 a row for each variant would take L + 1 rows a segment. Instead a segment goes by each of its halves: the one that doesn't hold
 the differing bit is equal, and a task that has all segments with that half makes the variants of the other half itself. Two
 rows a segment stand for all its variants.
 
-Verify: a further 64 bits (``check``) and the sets' sizes rule out most of those that meet; the others are compared by their
-whole sets. First only neighbours in equal segments are, which holds groups of very many copies together by a few links each;
-then all that meet and are in different components by then. No group gives all its pairs. Sets are compared in blocks, each pair
-of blocks by a task of its own, and each set goes only where a pair needs it.
+Verify: the whole fingerprints' differing bits (three standard deviations above a pair's at the threshold, at most) and the
+sets' sizes rule out most of those that meet; the others are compared by their whole sets. First only neighbours in equal
+segments are, which holds groups of very many copies together by a few links each; then all that meet and are in different
+components by then, each pair once, in the first segment where it meets. No group gives all its pairs. Sets are compared in
+blocks, each pair of blocks by a task of its own, and each set goes only where a pair needs it.
 
 Texts with equal sets are one class, and only classes are indexed, however many texts they hold. A half with more than
 ``run_rows`` classes isn't held by one task: it is dealt out in pairs of blocks.
@@ -42,35 +44,41 @@ from pointweave.llm.simhash import keep_first
 from pointweave.storage import drop_written, written
 
 #: The chance that a pair at the threshold meets, and that one of its bits differs.
-RECALL, DIFFERS = 0.99, math.acos(8 / 9) / math.pi
-#: The least length of a segment, and the most of the check's 64 bits in which a pair may differ: 3.6 standard deviations.
-SEGMENT_BITS, CHECK_BITS = 20, 20
+RECALL, DIFFERS = 0.995, math.acos(8 / 9) / math.pi
+#: The least length of a segment, the least words of a fingerprint, and standard deviations above a threshold pair's bits.
+SEGMENT_BITS, LANES, DEVIATIONS = 16, 8, 3.09
 #: How near neighbours are that are compared first; members of a run up to which each is compared with each at once.
-NEAR, SHORT_RUN = 2, 64
+NEAR, SHORT_RUN = 4, 64
 #: Shingles hashed at a time, rows expanded at a time; the most that a byte counts.
 BLOCK, ROWS, BYTE = 1 << 15, 1 << 16, 255
 #: Bytes of sets in a block, the least number of blocks, and shingles that are compared at a time.
-BLOCK_BYTES, BLOCKS, AT_ONCE = 8 << 20, 8, 1 << 20
+BLOCK_BYTES, BLOCKS, AT_ONCE = 8 << 20, 32, 1 << 20
 #: The eight bits of each byte as eight bytes of a 64-bit integer.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Segments of so many bits; ``lanes`` are the 64-bit words of a fingerprint before the check."""
+    """Segments of so many bits, in fingerprints of ``lanes`` 64-bit words."""
 
     bits: int
     segments: int
 
     @classmethod
     def of(cls, n_texts: int) -> Layout:
-        bits = max(SEGMENT_BITS, n_texts.bit_length() + 2)
+        bits = max(SEGMENT_BITS, n_texts.bit_length() - 2)
         meets = (1 - DIFFERS) ** bits + bits * DIFFERS * (1 - DIFFERS) ** (bits - 1)
         return cls(bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meets)))
 
     @property
     def lanes(self) -> int:
-        return -(-self.bits * self.segments // 64)
+        return max(LANES, -(-self.bits * self.segments // 64))
+
+    @property
+    def most(self) -> int:
+        """Bits in which a pair may differ."""
+        n = 64 * self.lanes
+        return math.floor(n * DIFFERS + DEVIATIONS * math.sqrt(n * DIFFERS * (1 - DIFFERS)))
 
     @property
     def low(self) -> int:
@@ -138,38 +146,40 @@ def words_of(column: pa.Array, lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, lanes)
 
 
+def columns_of(batch: pa.RecordBatch, lanes: int) -> list[np.ndarray]:
+    """A batch's columns, of which the last one has fingerprints."""
+    return [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]), words_of(batch.columns[-1], lanes)]
+
+
 def equal_keys(layout: Layout):
-    """(sh, fp) to a row for each segment: key, sh, check."""
+    """(sh, fp) to a row for each segment: key, sh, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                fps = words_of(some.column(1), layout.lanes + 1)
-                keys = layout.cut(fps[:, :-1]) + (np.arange(layout.segments, dtype=np.int64) << layout.bits)
-                owner = np.repeat(np.arange(len(fps)), layout.segments)
-                yield pa.record_batch([pa.array(keys.ravel()), some.column(0).take(pa.array(owner)), pa.array(fps[owner, -1].view(np.int64))], ["key", "sh", "check"])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                keys = layout.cut(words_of(some.column(1), layout.lanes)) + (np.arange(layout.segments, dtype=np.int64) << layout.bits)
+                owner = pa.array(np.repeat(np.arange(some.num_rows), layout.segments))
+                yield pa.record_batch([pa.array(keys.ravel()), some.column(0).take(owner), some.column(1).take(owner)], ["key", "sh", "fp"])
 
     return run
 
 
 def half_keys(layout: Layout):
     """(sh, fp, n, root) to two rows for each segment: key (the segment's number, which half, and its value), other (the other
-    half), sh, check, n, root."""
+    half), sh, n, root, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = layout.low
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                fps = words_of(some.column(1), layout.lanes + 1)
-                cut = layout.cut(fps[:, :-1])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                cut = layout.cut(words_of(some.column(1), layout.lanes))
                 halves = np.stack([cut >> low, cut & (1 << low) - 1], axis=2)  # the upper one goes with the lower one as other
                 number = np.arange(2 * layout.segments, dtype=np.int64).reshape(-1, 2) << layout.bits
-                owner = np.repeat(np.arange(len(fps)), 2 * layout.segments)
-                taken = pa.array(owner)
-                columns = [pa.array((halves + number).ravel()), pa.array(halves[:, :, ::-1].ravel().astype(np.int32)), some.column(0).take(taken), pa.array(fps[owner, -1].view(np.int64)), some.column(2).take(taken), some.column(3).take(taken)]
-                yield pa.record_batch(columns, ["key", "other", "sh", "check", "n", "root"])
+                owner = pa.array(np.repeat(np.arange(some.num_rows), 2 * layout.segments))
+                columns = [pa.array((halves + number).ravel()), pa.array(halves[:, :, ::-1].ravel().astype(np.int32)), *(some.column(k).take(owner) for k in (0, 2, 3, 1))]
+                yield pa.record_batch(columns, ["key", "other", "sh", "n", "root", "fp"])
 
     return run
 
@@ -179,29 +189,37 @@ def ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64))
+    """Differing bits of two matrices' rows."""
+    out = np.zeros(len(x), np.int64)
+    for lane in range(x.shape[1]):
+        out += np.bitwise_count(x[:, lane] ^ y[:, lane])
+    return out
 
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, sh, check), sorted by key and check, to pairs of near rows with equal keys that may link."""
-    held: list[np.ndarray] | None = None  # the last rows
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        before = 0 if held is None else len(held[0])
-        if held is not None:
-            cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-        key, sh, check = cols
-        for d in range(1, NEAR + 1):
-            new = max(0, before - d)  # where the first pair with a new row begins
-            x, y = slice(new, max(new, len(key) - d)), slice(new + d, None)
-            hit = np.flatnonzero((key[x] == key[y]) & (differing(check[x], check[y]) <= CHECK_BITS))
-            yield ordered(sh[x][hit], sh[y][hit])
-        held = [c[-NEAR:].copy() for c in cols]
-
-
-def whole_runs(batches: Iterator[pa.RecordBatch], run_rows: int) -> Iterator[tuple[list[np.ndarray], int, int]]:
+def neighbours(layout: Layout):
+    """Rows (key, sh, fp), sorted by key and fp, to pairs of near rows with equal keys that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = columns_of(batch, layout.lanes)
+            before = 0 if held is None else len(held[0])
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            key, sh, fp = cols
+            for d in range(1, NEAR + 1):
+                new = max(0, before - d)  # where the first pair with a new row begins
+                at = new + np.flatnonzero(key[new : max(new, len(key) - d)] == key[new + d :])
+                at = at[differing(fp[at], fp[at + d]) <= layout.most]
+                yield ordered(sh[at], sh[at + d])
+            held = [c[-NEAR:].copy() for c in cols]
+
+    return run
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], lanes: int, run_rows: int) -> Iterator[tuple[list[np.ndarray], int, int]]:
     """The columns of rows sorted by key (the first), cut between keys only, some ten thousand rows at a time; and (none, key,
     rows) for each key with more than run_rows, which isn't held."""
     held: list[list[np.ndarray]] = []
@@ -214,7 +232,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], run_rows: int) -> Iterator[tup
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cols = columns_of(batch, lanes)
         key = cols[0]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
@@ -240,52 +258,57 @@ def whole_runs(batches: Iterator[pa.RecordBatch], run_rows: int) -> Iterator[tup
 
 
 def met(cols: list[np.ndarray], layout: Layout) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole keys' rows (key, other, sh, check, n, root) to pairs of classes that may link: variants of the other half are made
-    here, and those with the same variant are compared unless they have one root."""
-    key, other, sh, check, n, root = cols
+    """Whole keys' rows (key, other, sh, n, root, fp) to pairs of classes that may link: variants of the other half are made here,
+    and those with the same variant are compared unless they have one root."""
+    key, other, _, _, root, _ = cols
     upper = (key >> layout.bits) % 2 == 0  # equal segments are met by their upper half alone
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.int64)
     for bit in range(-1, max(layout.low, layout.bits - layout.low)):
         take = np.flatnonzero(upper) if bit < 0 else np.arange(len(key))
+        if not len(take):
+            continue
         code = other[take].astype(np.int64) & ~(1 << bit if bit >= 0 else 0)
         code |= group[take] << 32
         order = np.lexsort((root[take], code))
         code, at = code[order], take[order]
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         ends = np.append(starts[1:], len(code))
-        mixed = root[at[starts]] != root[at[ends - 1]] if len(code) else np.zeros(0, bool)
-        sizes = ends - starts
+        mixed, sizes = root[at[starts]] != root[at[ends - 1]], ends - starts
         short = np.repeat(mixed & (sizes <= SHORT_RUN), sizes)
-        yield from near_pairs(code[short], at[short], int(sizes[mixed & (sizes <= SHORT_RUN)].max(initial=1)), bit, cols)
+        near, own = code[short], at[short]
+        for d in range(1, int(sizes[mixed & (sizes <= SHORT_RUN)].max(initial=1))):
+            hit = np.flatnonzero(near[d:] == near[:-d])
+            yield possible(own[hit], own[hit + d], bit, cols, layout)
         for r in np.flatnonzero(mixed & (sizes > SHORT_RUN)):
             own = at[starts[r] : ends[r]]
             cuts = np.flatnonzero(np.concatenate([[True], root[own[1:]] != root[own[:-1]]]))
             for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):  # a root's members with those behind them
                 for i in own[a:b] if b < len(own) else ():
-                    yield possible(np.full(len(own) - b, i), own[b:], bit, cols)
-
-
-def near_pairs(code: np.ndarray, at: np.ndarray, longest: int, bit: int, cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for d in range(1, longest):
-        hit = np.flatnonzero(code[d:] == code[:-d])
-        yield possible(at[hit], at[hit + d], bit, cols)
+                    yield possible(np.full(len(own) - b, i), own[b:], bit, cols, layout)
 
 
-def possible(x: np.ndarray, y: np.ndarray, bit: int, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows' pairs those that may link: other roots, check and sizes near; with a wildcard, those that differ there."""
-    _, other, sh, check, n, root = cols
-    ok = (root[x] != root[y]) & (differing(check[x], check[y]) <= CHECK_BITS)
-    ok &= 4 * np.maximum(n[x], n[y]).astype(np.int64) <= 5 * np.minimum(n[x], n[y]).astype(np.int64)
+def possible(x: np.ndarray, y: np.ndarray, bit: int, cols: list[np.ndarray], layout: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows' pairs those that may link and haven't met before: other roots, sizes and fingerprints near; with a wildcard,
+    those that differ there."""
+    key, other, sh, n, root, fp = cols
+    ok = (root[x] != root[y]) & (4 * np.maximum(n[x], n[y]).astype(np.int64) <= 5 * np.minimum(n[x], n[y]).astype(np.int64))
     if bit >= 0:
         ok &= (other[x] ^ other[y]) >> bit & 1 == 1
-    return sh[x[ok]], sh[y[ok]]
+    x, y = x[ok], y[ok]
+    ok = differing(fp[x], fp[y]) <= layout.most
+    x, y = x[ok], y[ok]
+    if len(x):
+        first = (np.bitwise_count(layout.cut(fp[x] ^ fp[y]).view(np.uint64)) <= 1).argmax(axis=1)
+        ok = first == key[x] >> layout.bits + 1
+        x, y = x[ok], y[ok]
+    return sh[x], sh[y]
 
 
 def meeting(layout: Layout, run_rows: int):
     """Rows of half_keys, sorted by key, to pairs (a, b, 0); a key with more than run_rows gives (key, 0, how many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, key, many in whole_runs(batches, run_rows):
+        for cols, key, many in whole_runs(batches, layout.lanes, run_rows):
             if many:
                 yield pa.record_batch([pa.array([key]), pa.array([0], pa.int64()), pa.array([many], pa.int64())], ["a", "b", "many"])
                 continue
@@ -307,14 +330,14 @@ PAIRS = "a bigint, b bigint, many bigint"
 
 
 def first_pairs(classes: DataFrame, layout: Layout) -> DataFrame:
-    keyed = classes.select("sh", "fp").mapInArrow(equal_keys(layout), "key bigint, sh bigint, check bigint")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "check")
-    return dealt.mapInArrow(neighbours, PAIRS).select("a", "b").distinct()
+    keyed = classes.select("sh", "fp").mapInArrow(equal_keys(layout), "key bigint, sh bigint, fp binary")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(neighbours(layout), PAIRS).select("a", "b").distinct()
 
 
 def other_pairs(rooted: DataFrame, layout: Layout, run_rows: int) -> DataFrame:
     """rooted: sh, fp, n, root. All pairs that meet and have different roots, from a written table."""
-    kinds = "key bigint, other int, sh bigint, check bigint, n int, root bigint"
+    kinds = "key bigint, other int, sh bigint, n int, root bigint, fp binary"
     keyed = rooted.select("sh", "fp", "n", "root").mapInArrow(half_keys(layout), kinds)
     found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meeting(layout, run_rows), PAIRS)
     found = written(found.distinct(), "widepairs")
@@ -327,7 +350,7 @@ def other_pairs(rooted: DataFrame, layout: Layout, run_rows: int) -> DataFrame:
     # the key stays the order within a pair of blocks, as the half that it stands for counts
     rows = rows.withColumn("pair", F.xxhash64("key", F.least("block", "beside"), F.greatest("block", "beside")))
     dealt = rows.repartition("pair").sortWithinPartitions("pair", "key")
-    kept = dealt.select("pair", "key", "other", "sh", "check", "n", "root")
+    kept = dealt.select("pair", "key", "other", "sh", "n", "root", "fp")
     more = kept.mapInArrow(meeting_blocks(layout), PAIRS)
     return written(pairs.unionByName(more.select("a", "b")).distinct(), "wideothers")
 
@@ -347,7 +370,7 @@ def meeting_blocks(layout: Layout):
                     yield from plain(iter(held))
                     held = []
                 last = pair[a]
-                held.append(batch.slice(a, b - a).select(["key", "other", "sh", "check", "n", "root"]))
+                held.append(batch.slice(a, b - a).select(["key", "other", "sh", "n", "root", "fp"]))
         if held:
             yield from plain(iter(held))
 
@@ -432,7 +455,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     text = F.col(text_col).cast("string")
     layout = Layout.of(docs.count())
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
-    mark = marks_of(layout.lanes + 1, words)(text).alias("mark")
+    mark = marks_of(layout.lanes, words)(text).alias("mark")
     marks = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), mark).select("id", "th", "mark.*")
     marks = written(marks, "widemarks")
     classes = written(marks.groupBy("sh").agg(F.first(F.struct("th", "n", "fp")).alias("one")).select("sh", "one.*"), "wideclasses")
