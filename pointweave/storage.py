@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,27 @@ def drop_written(*tables: DataFrame) -> None:
         WRITTEN.discard(df.written_path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at its end, or when it fails, but for those given to the function that it yields: what is
+    lazily computed from others must have been written by then. Not for threads that write at the same time."""
+    before, kept = set(WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.written_path)
+        return df
+
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        for path in WRITTEN - before - kept:
+            delete(spark, path)
+            WRITTEN.discard(path)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all tables that ``written`` has left; results that read them must have been used."""
     for path in list(WRITTEN):
