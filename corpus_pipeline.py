@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; rejected documents, copies and contaminated documents go.
+
+Defined results: a null or empty text fails the base rules and goes. Of repeated rows one stays, as of any copies. A null id is
+no label's and smaller than any other where lines stay, but never the smallest of a group of copies. Empty tables give no rows;
+further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pointweave.llm import bpe, decontam, linededup, rulelists, widesimhash
 from pointweave.llm.common import fresh
-from pointweave.storage import written
+from pointweave.storage import drop_written, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. A stage's own tables and its input go when its output is written; the last one's input stays
+    as long as the result is to be read (``pointweave.storage.clean`` deletes it)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(written(stage(spark, before, sf_dir), name))
+        if name != STAGES[0][0]:
+            drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,6 +30,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+def unclaimed(df: DataFrame, *names: str) -> None:
+    """An error if a column has one of these names (in any case)."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} would be overwritten; give other names")
+
+
 def slices(array: pa.Array) -> Iterator[list]:
     """The values of a text column as Python strings, a few hundred at a time; null stays None."""
     for at in range(0, len(array), SLICE_ROWS):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.common import few, fresh
-from pointweave.storage import written
+from pointweave.storage import scratch, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,6 +77,10 @@ def chained(array: Column, length: int, join: Callable[[Column, Column], Column]
     return array
 
 
+#: Bytes of items' words up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def chosen(words: Column, window: int, k: int) -> Column:
     """The winnowed fingerprints."""
     hashed = chained(words, k, lambda x, y: F.xxhash64(x, y)) if k > 1 else F.transform(words, lambda x: F.xxhash64(x))
@@ -130,7 +134,9 @@ def spans(docs: DataFrame, items: DataFrame, lengths: list[int], window: int, k:
     equal run of words around a shared fingerprint."""
     back = window - k
     marked = with_marks(docs, window, k, lengths).withColumn("n_words", F.size("words"))
-    if items.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    size = F.sum(F.coalesce(F.octet_length(F.array_join("around", " ")), F.lit(0)))
+    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()  # items is a written table
+    if n_items <= broadcast_rows and n_bytes <= BROADCAST_BYTES:
         # one more mark stands for the document itself and meets a row without an item. The join gives hits and that row
         # only, so that the words, which go with each mark, are copied for no others.
         every = F.concat("marks", F.array(F.lit(None).cast("bigint")))
@@ -139,9 +145,12 @@ def spans(docs: DataFrame, items: DataFrame, lengths: list[int], window: int, k:
         found = rows.join(F.broadcast(items.unionByName(none, allowMissingColumns=True)), "mark")
     else:
         rows = split_mark(marked.select("id", "th", F.explode("marks").alias("mark")))
-        hits = rows.join(items, "mark")
-        texts = docs.dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "own_id", "th": "own_th"})
-        hits = hits.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))).drop("own_id", "own_th")
+        # marks meet without the words; the words of the documents that meet an item alone are fetched
+        hits = written(rows.join(items, "mark"), "meetings")
+        same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))
+        met = few(written(hits.select(F.col("id").alias("own_id"), F.col("th").alias("own_th")).distinct(), "meetingdocs"))
+        texts = docs.join(met, same, "left_semi").dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "own_id", "th": "own_th"})
+        hits = hits.join(texts, same).drop("own_id", "own_th")
         found = docs.select("id", "th", F.size("words").alias("n_words")).unionByName(hits, allowMissingColumns=True)
     # in the join's own loop only a hit's neighbourhood is cut out, so no hit carries its whole text
     hit, low = F.col("need").isNotNull(), F.greatest(F.col("place") - back, F.lit(0))
@@ -164,8 +173,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), words_of(text).alias("words"))
     items, lengths = marked_items(benchmark, item_id, item_text, window, k)
-    items = written(items, "benchmark")
-    found = spans(rows, items, lengths, window, k, broadcast_rows)
+    with scratch(docs.sparkSession) as keep:
+        found = keep(spans(rows, written(items, "benchmark"), lengths, window, k, broadcast_rows))
     base, hits = found.where("n_words IS NOT NULL"), hits_of(found)
     # a word and an item at a time before a document: no task needs all hits of one
     spanned = hits.select("id", "th", "start", "end").distinct()
@@ -187,8 +196,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), words_of(text).alias("words"))
     items, lengths = marked_items(benchmark, item_id, item_text, window, k)
-    found = spans(rows, written(items, "benchmark"), lengths, window, k, broadcast_rows)
-    found = few(written(hits_of(found).select("id", "th").distinct(), "hitdocs"))
+    with scratch(docs.sparkSession) as keep:
+        found = spans(rows, written(items, "benchmark"), lengths, window, k, broadcast_rows)
+        found = few(keep(written(hits_of(found).select("id", "th").distinct(), "hitdocs")))
     own, owner = fresh(docs, "text_hash"), fresh(docs, "text_owner")
     found = found.select(F.col("id").alias(owner), F.col("th").alias(f"{owner}_hash"))
     same = F.col(id_col).eqNullSafe(F.col(owner)) & (F.col(own) == F.col(f"{owner}_hash"))

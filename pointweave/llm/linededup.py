@@ -245,6 +245,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if index.n_bytes <= broadcast_bytes:
         n_shards = index.n_shards
         shards = spark.sparkContext.broadcast({r["shard"]: r.asDict() for r in index.table.collect()})  # at most broadcast_bytes
+        drop_written(index.table)
         opened: dict[int, PerfectHash] = {}
 
         @F.arrow_udf(RESULT)

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import unclaimed
 from pointweave.llm.labelled import training_rows
 from pointweave.llm.rulelists import Condition
 from pointweave.llm.stats import count_column, ratio_columns
@@ -171,5 +172,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, model: Ensemble, text_col: str = "text", counted: str = "counts", out: str = "score") -> DataFrame:
-    """docs with the struct ``counted`` and the score in ``out``."""
+    """docs with the struct ``counted`` and the score in ``out``; a column of docs that has one of these names is an error."""
+    unclaimed(docs, counted, out)
     return docs.withColumn(counted, count_column(F.col(text_col))).withColumn(out, model.column(ratio_columns(counted)))

@@ -8,7 +8,8 @@ conditional expression: the first rule that holds rejects, a document that none
 The fit reads at most ``max_rows`` labelled rows (a bounded sample, by hash of the id); the rules then judge all documents.
 
 Defined results: null and empty texts have no words and fail the base. Without labels of both classes the list is empty
-and keeps all. Rows are judged independently, so repeated rows get a row each; other columns don't matter.
+and keeps all. Rows are judged independently, so repeated rows get a row each, and ids (null ones too) don't matter; an empty
+table gives no rows. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.llm.common import unclaimed
 from pointweave.llm.labelled import training_rows
 from pointweave.llm.stats import RATIOS, count_column, ratio_columns
 
@@ -103,11 +105,21 @@ def learn(x: np.ndarray, bad: np.ndarray, *, n_thresholds: int = 64, max_rules:
         if p < min_cover or p < min_precision * (p + n) or unseen_p < min_precision * (unseen_p + unseen_n):
             continue
         tries = 0
-        rules.append([conditions[k] for k in best])
+        rules.append(simplified([conditions[k] for k in best]))
         left &= ~np.logical_and.reduce(held[best], axis=0)
     return rules
 
 
+def simplified(rule: list[Condition]) -> list[Condition]:
+    """The same rule without conditions that another one of the same feature and direction implies."""
+    tight: dict[tuple[int, bool], Condition] = {}
+    for c in rule:
+        other = tight.get((c.feature, c.above))
+        if other is None or (c.threshold > other.threshold) == c.above:
+            tight[c.feature, c.above] = c
+    return list(tight.values())
+
+
 def keeps(rules: list[list[Condition]], ratios: dict[str, Column]) -> Column:
     """The ordered conditional expression: true where no rule rejects."""
     if not rules:
@@ -119,14 +131,22 @@ def keeps(rules: list[list[Condition]], ratios: dict[str, Column]) -> Column:
     return chain.otherwise(F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_rows: int = 20_000) -> list[list[Condition]]:
-    x, label = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
+def base_failed(counted: str, min_words: int = 50, repeat_percent: int = 50) -> Column:
+    """Too few words, or too many in repeated windows, by the struct of counts."""
+    n = F.col(f"{counted}.n_words")
+    return (n < min_words) | (100 * F.col(f"{counted}.n_repeat_words") > repeat_percent * n)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_rows: int = 20_000, **base) -> list[list[Condition]]:
+    """Rules for what the base passes: documents that fail it aren't learned from. base: as for ``judged``."""
+    x, label = training_rows(docs, labels, id_col, text_col, label_col, max_rows, lambda counted: base_failed(counted, **base))
     return learn(x, label == 0)
 
 
 def judged(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text", counted: str = "counts", out: str = "kept", base: str = "base_failed", *, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """docs with the struct ``counted``, ``base`` (too few words, or too many in repeated windows) and ``out``."""
+    """docs with the struct ``counted``, ``base`` (too few words, or too many in repeated windows) and ``out``; a column of docs
+    that has one of these names is an error."""
+    unclaimed(docs, counted, out, base)
     df = docs.withColumn(counted, count_column(F.col(text_col)))
-    n = F.col(f"{counted}.n_words")
-    df = df.withColumn(base, (n < min_words) | (100 * F.col(f"{counted}.n_repeat_words") > repeat_percent * n))
+    df = df.withColumn(base, base_failed(counted, min_words, repeat_percent))
     return df.withColumn(out, ~F.col(base) & keeps(rules, ratio_columns(counted)))

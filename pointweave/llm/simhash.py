@@ -28,7 +28,7 @@ the id and text columns are read, so other columns and their names don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.common import components, few, fresh, mix64, slices
-from pointweave.storage import drop_written, written
+from pointweave.storage import scratch, written
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
@@ -267,31 +267,33 @@ def marked(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: in
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, max_bits: int = 4) -> DataFrame:
     """A row per document: id, fingerprint (16 lowercase hex digits), component_id (the smallest id of its component)."""
-    marks, rooted = marked(docs, id_col, text_col, words, max_bits)
-    # plain sides of the joins, so that AQE can split a hot root or fingerprint
-    rooted = written(rooted, "simhashroots")
-    low = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhashleast")
-    found = written(rooted.join(low, "root").select("fp", "component_id"), "simhashfound")
-    drop_written(rooted, low)
+    with scratch(docs.sparkSession) as keep:
+        marks, rooted = marked(docs, id_col, text_col, words, max_bits)
+        # plain sides of the joins, so that AQE can split a hot root or fingerprint
+        rooted = written(rooted, "simhashroots")
+        low = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhashleast")
+        found = keep(written(rooted.join(low, "root").select("fp", "component_id"), "simhashfound"))
+        keep(marks)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marks.join(found, "fp").select(F.col("id").alias(id_col), shown, "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, max_bits: int = 4) -> DataFrame:
     """One document of each group with all its columns: the smallest id; of equal or null ids, one by the text's hash."""
-    marks, rooted = marked(docs, id_col, text_col, words, max_bits)
-    return keep_first(docs, marks, rooted.select("fp", "root"), "fp", id_col, text_col)
+    with scratch(docs.sparkSession) as keep:
+        marks, rooted = marked(docs, id_col, text_col, words, max_bits)
+        return keep_first(docs, marks, rooted.select("fp", "root"), "fp", id_col, text_col, keep)
 
 
-def keep_first(docs: DataFrame, marks: DataFrame, rooted: DataFrame, mark: str, id_col: str, text_col: str) -> DataFrame:
-    """The documents that stay, by their marks (id, th, mark) and each mark's root."""
+def keep_first(docs: DataFrame, marks: DataFrame, rooted: DataFrame, mark: str, id_col: str, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents that stay, by their marks (id, th, mark) and each mark's root. keep: of the scratch that this is in."""
     # plain sides of the joins, so that AQE can split a hot mark or group
     rooted = written(rooted, "simhashroots")
     grouped = written(marks.join(rooted, mark).select("id", "th", "root"), "simhashed")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
     first = written(first, "simhashfirst")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-    gone = written(grouped.join(first, "root").where(~kept).select("id", "th").distinct(), "simhashgone")
+    gone = keep(written(grouped.join(first, "root").where(~kept).select("id", "th").distinct(), "simhashgone"))
     own, owner = fresh(docs, "text_hash"), fresh(docs, "text_owner")
     hashed = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
     gone = few(gone).select(F.col("id").alias(owner), F.col("th").alias(f"{owner}_hash"))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from pointweave.llm.common import components, few, mix64, slices
 from pointweave.llm.simhash import keep_first
-from pointweave.storage import drop_written, written
+from pointweave.storage import drop_written, scratch, written
 
 #: The chance that a pair at the threshold meets, and that one of its bits differs.
 RECALL, DIFFERS = 0.995, math.acos(8 / 9) / math.pi
@@ -456,9 +456,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     layout = Layout.of(docs.count())
     texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
     mark = marks_of(layout.lanes, words)(text).alias("mark")
-    marks = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), mark).select("id", "th", "mark.*")
-    marks = written(marks, "widemarks")
-    classes = written(marks.groupBy("sh").agg(F.first(F.struct("th", "n", "fp")).alias("one")).select("sh", "one.*"), "wideclasses")
-    groups = near_groups(classes, texts, words, layout, run_rows)
-    rooted = classes.select("sh").join(groups, F.col("sh") == F.col("node"), "left").select("sh", F.coalesce("root", "sh").alias("root"))
-    return keep_first(docs, marks.select("id", "th", "sh"), rooted, "sh", id_col, text_col)
+    with scratch(docs.sparkSession) as keep:
+        marks = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), mark).select("id", "th", "mark.*")
+        marks = written(marks, "widemarks")
+        classes = written(marks.groupBy("sh").agg(F.first(F.struct("th", "n", "fp")).alias("one")).select("sh", "one.*"), "wideclasses")
+        groups = near_groups(classes, texts, words, layout, run_rows)
+        rooted = classes.select("sh").join(groups, F.col("sh") == F.col("node"), "left").select("sh", F.coalesce("root", "sh").alias("root"))
+        return keep_first(docs, marks.select("id", "th", "sh"), rooted, "sh", id_col, text_col, keep)

@@ -1,42 +1,52 @@
-from pathlib import Path
-
 import pytest
+from pyspark.sql import functions as F
 
 from pointweave.llm import common
 
 
-def test_written_and_clean(spark):
-    df = common.written(spark.range(5), "five")
-    folder = Path(df.written_path.removeprefix("file://"))
-    assert df.count() == 5 and folder.is_dir()
-    common.clean(spark)
-    assert not folder.exists() and not common.WRITTEN
-    other = common.written(spark.range(0), "none")
-    assert other.count() == 0 and other.columns == ["id"]
-    common.drop_written(other)
-    assert not common.WRITTEN
-
-
 def test_fresh(spark):
     df = spark.createDataFrame([(1, 2)], "counts int, Counts_1 int")
     assert common.fresh(df, "counts") == "counts_2" and common.fresh(df, "x") == "x"
 
 
-def test_cache_forgets_and_computes_anew():
-    class Lengths(common.TwoGenerations):
-        calls = 0
-
-        def compute(self, key):
-            self.calls += 1
-            return len(key)
-
-    cache = Lengths(2)
+def test_cache_forgets():
+    cache, calls = common.TwoGenerations(2), 0
     for _ in range(3):
-        for key in ("a", "bb", "ccc", "a"):
+        for key in ("a", "bb", "ccc", "a", "x" * 100):
+            new = cache.unknown([key])
+            calls += len(new)
+            cache.update({k: len(k) for k in new})
             assert cache[key] == len(key)
             cache.rotate()
-            assert len(cache) + len(cache.old) <= 5
-    assert cache.calls > 3
+            assert len(cache) + len(cache.old) <= 5 and "x" * 100 not in cache
+    assert calls > 6
+
+
+def test_unclaimed(docs_of):
+    common.unclaimed(docs_of([]), "free")
+    with pytest.raises(ValueError, match="words"):
+        common.unclaimed(docs_of([]), "free", "Words")
+
+
+def test_a_hot_star_is_split(spark):
+    """A star's links meet their minimum in a join that AQE splits, as both sides are plain."""
+    own = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    links = common.written(spark.range(1, 60_000).select(F.lit(0).alias("u"), F.col("id").alias("v")), "star")
+    least = common.written(links.groupBy("u").agg(F.min("v").alias("m")), "starleast")
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        joined = links.join(least, "u").select("v", "m")
+        joined.write.format("noop").mode("overwrite").save()
+        joined.count()
+        plan = joined._jdf.queryExecution().executedPlan()
+        joined.collect()
+        assert "skew=true" in plan.toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        common.drop_written(links, least)
 
 
 def test_components_ignores_nulls(spark):

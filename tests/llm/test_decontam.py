@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointweave.llm import decontam, queries
+from pointweave.storage import written
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -81,9 +82,22 @@ def test_empty(spark, docs_of):
     assert decontam.keep_clean(docs_of(docs), bench(spark, [])).count() == len(docs)
 
 
-def test_no_python_in_the_plan(spark, sf_dir):
-    plan = queries.op7_decontaminate(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+def test_no_python_in_the_plan(spark, sf_dir, monkeypatch):
+    """Nor in the plans of what is written on the way."""
+    plans = []
+
+    def noting(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(decontam, "written", noting)
+    for broadcast_rows in (100_000, 0):
+        docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+        found = decontam.decontaminate(docs, items, broadcast_rows=broadcast_rows)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        plans.append(decontam.keep_clean(docs, items, broadcast_rows=broadcast_rows)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 10
+    assert not [p for p in plans for name in ("Python", "Arrow", "Pandas") if name in p]
 
 
 def test_winnowing(spark):

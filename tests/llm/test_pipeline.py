@@ -1,8 +1,10 @@
 import hashlib
 
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from pointweave import storage
 from pointweave.llm import bpe, rulelists
 from tests.llm.test_decontam import brute as brute_decontam
 from tests.llm.test_linededup import brute as brute_lines
@@ -42,3 +44,27 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert done.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_dedup", "decontaminate", "byte_bpe"]
+
+
+def test_nulls_empties_ties_and_repeated_rows(spark, docs_of, tmp_path):
+    """Over a table of its own, with columns whose names the stages use themselves; and what is left of the tables written."""
+    clean = lambda k, n=80: " ".join(f"w{k}x{j}" for j in range(n))
+    line = "a line that many of these documents share with each other"
+    texts = [(1, None), (2, ""), (None, clean(1)), (None, clean(1)), (3, clean(2)), (3, clean(2)), (4, clean(2)), (5, clean(3)), (5, clean(4)), (6, clean(5, 200_000)), (7, "few words")]
+    texts += [(k, clean(k) + "\n" + line) for k in range(10, 16)] + [(20, clean(20) + " " + " ".join(f"item{j}" for j in range(12)))]
+    docs = docs_of(texts).withColumnsRenamed({"words": "kept", "mark": "lines"}).withColumn("counts", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b", " ".join(f"item{j}" for j in range(12))), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(3, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    storage.clean(spark)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    rows = sorted(((r["doc_id"], r["decoded_sha256"]) for r in got.collect()), key=str)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(None, sha(clean(1))), (3, sha(clean(2))), (5, sha(clean(3))), (5, sha(clean(4))), (6, sha(clean(5, 200_000)))]
+    want += [(k, sha(clean(k) + ("\n" + line if k == 15 else ""))) for k in range(10, 16)]
+    assert rows == sorted(want, key=str)
+    assert len(storage.WRITTEN) <= 1
+    storage.clean(spark)
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []

@@ -116,5 +116,45 @@ def test_op9_query(spark):
 
 def test_judged_edges(docs_of):
     rows = [(1, None), (1, ""), (None, "word " * 60), (2, "a b c " * 60), (3, " ".join(f"w{k}" for k in range(60)))]
-    found = rulelists.judged(docs_of(rows), [], counted="words").collect()
+    with pytest.raises(ValueError, match="words"):
+        rulelists.judged(docs_of(rows), [], counted="words")
+    for name in ("counts", "kept", "Base_Failed"):
+        with pytest.raises(ValueError, match=name.lower()):
+            rulelists.judged(docs_of(rows).withColumn(name, F.lit("own")), [])
+    assert rulelists.judged(docs_of([]), []).collect() == []
+    found = rulelists.judged(docs_of(rows), []).collect()
     assert sorted((str(r["doc_id"]), r["base_failed"], r["kept"]) for r in found) == [("1", True, False), ("1", True, False), ("2", True, False), ("3", False, True), ("None", True, False)]
+
+
+def test_scored_edges(spark, docs_of):
+    """Empty tables, null ids and texts, repeated rows, clashing names, very long texts."""
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    docs = docs_of([(k, ("clean words here " + " ".join(f"w{j}" for j in range(30))) if k % 3 else "# $ % & " * 20) for k in range(60)])
+    model = ruleensemble.fit(docs, labels)
+    rows = [(None, None), (1, ""), (1, ""), (2, "# $ % & " * 20), (2, "# $ % & " * 20), (3, "clean words here " + " ".join(f"w{j}" for j in range(30))), (None, "word " * 300_000)]
+    found = ruleensemble.scored(docs_of(rows), model).collect()
+    assert len(found) == 7 and all(0 <= r["score"] <= 1 for r in found)
+    by = {(r["doc_id"], r["text"]): r["score"] for r in found}
+    assert by[2, rows[3][1]] < 0.3 <= by[3, rows[5][1]]
+    assert ruleensemble.scored(docs_of([]), model).collect() == []
+    empty = ruleensemble.fit(docs_of([]), labels)
+    assert empty.terms == [] and ruleensemble.scored(docs_of(rows[:1]), empty).first()["score"] == pytest.approx(0.5)
+    for name in ("counts", "SCORE"):
+        with pytest.raises(ValueError, match=name.lower()):
+            ruleensemble.scored(docs_of(rows).withColumn(name, F.lit("own")), model)
+
+
+def test_rules_are_simplified():
+    above = lambda t, k=0: rulelists.Condition(k, True, t)
+    below = lambda t, k=0: rulelists.Condition(k, False, t)
+    assert rulelists.simplified([above(0.5), above(0.9), below(0.95), below(0.99), above(0.1, 1)]) == [above(0.9), below(0.95), above(0.1, 1)]
+    x, bad = sample()
+    for rule in rulelists.learn(x, bad):
+        assert len({(c.feature, c.above) for c in rule}) == len(rule)
+
+
+def test_fit_leaves_out_what_the_base_fails(spark, docs_of):
+    docs = docs_of([(k, "few words" if k % 2 else " ".join(f"w{k}{j}" for j in range(60))) for k in range(80)])
+    labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    assert rulelists.fit(docs, labels) == []  # what is left is of one class
+    assert rulelists.fit(docs, labels, min_words=1) != []
