@@ -53,3 +53,16 @@ def with_total(df: DataFrame, topic: str, *aggregates: Column, total: str = "TOT
 def count_windows(ordinal: str, size: int = 20) -> Column:
     """The report a message belongs to, by its ordinal from 1 on: the first report is of one message."""
     return F.floor((F.col(ordinal) + size - 2) / size).cast("bigint")
+
+
+def is_whole(size: Column, width: Column, height: Column, point_step: Column) -> Column:
+    """Whether a payload's size is what its dimensions say; as ``cdr.is_whole``."""
+    return size == width.cast("bigint") * height.cast("bigint") * point_step.cast("bigint")
+
+
+def same_layout(one: Column, other: Column) -> Column:
+    """Whether two headers (structs of width, height, point_step and fields, those of name, offset and type) are equal but for
+    resolutions and options; as ``Header.same_layout``."""
+    plain = lambda h: F.transform(h["fields"], lambda f: F.struct(f["name"], f["offset"], f["type"]))
+    sizes = [one[c] == other[c] for c in ("width", "height", "point_step")]
+    return sizes[0] & sizes[1] & sizes[2] & (plain(one) == plain(other))

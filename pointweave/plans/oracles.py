@@ -81,6 +81,18 @@ def total(select: str, rows: str) -> str:
     return f"SELECT event_type, {select} FROM {rows} GROUP BY event_type UNION ALL SELECT 'TOTAL', {select} FROM {rows} HAVING count(DISTINCT event_type) > 1"
 
 
+CLOUD = "('0x' || substr(sha256(event_type), 1, 15))::BIGINT"
+#: Header, stamp, frame, dimensions, two fields, flags, data and density, each aligned behind the four bytes.
+MESSAGE_BYTES = "4 + ((((((((12 + length(event_type) + 1 + 3) // 4) * 4 + 12) + 4 + 6 + 2 + 4 + 1 + 3 + 4) + 4 + 5 + 3 + 4 + 1 + 3 + 4) + 1 + 3 + 4 + 4) + 4) + 12 * count(*) + 1)"
+
+
+def section_bytes(name: str, column: str) -> str:
+    """CTE name(cloud, chunk, n, bytes): a column's sections in the mode of the cloud's first 4096 rows, by rows c."""
+    return f"""{name} AS (WITH x AS (SELECT cloud, chunk, idx, {column} AS v FROM c), probe AS (SELECT cloud, idx, v FROM x WHERE idx < 4096),
+  m AS (WITH {sizes('probe', 'cloud', 8)} SELECT cloud, {MODE} AS mode FROM sizes), z AS (WITH {sizes('x', 'cloud, chunk', 8)} SELECT * FROM sizes)
+  SELECT cloud, chunk, n, CASE mode WHEN 'delta_varint' THEN delta_varint WHEN 'palette' THEN palette WHEN 'rle' THEN rle ELSE delta_rle END AS bytes FROM z JOIN m USING (cloud))"""
+
+
 ORACLE_SQL = {
     "q01_quantise_delta": f"WITH {E}, s AS (SELECT *, {TICKS} AS q FROM e), d AS (SELECT *, {delta('q')} AS delta FROM s) SELECT event_id, q, delta, {zz('delta')} + 1 AS code FROM d",
     "q02_delta_varint_size_by_topic": f"WITH {SIZED} SELECT event_type, count(*)::BIGINT AS n, sum(out)::BIGINT AS bytes FROM sized GROUP BY event_type",
@@ -129,8 +141,38 @@ SELECT chunk, n, mode, CASE mode WHEN 'delta_varint' THEN delta_varint WHEN 'pal
     "q43_payload_size_check": "SELECT length(l_returnflag) = (CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END) AS whole, count(*)::BIGINT AS n FROM lineitem GROUP BY 1",
     "q44_interleaved_payload": f"WITH f AS (SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS field FROM embeddings) SELECT field, field * 4 AS offset, count(*)::BIGINT AS n, sum(round((v * {float(np.float32(1) / np.float32(0.001))!r}::FLOAT)::DOUBLE)::BIGINT)::BIGINT AS ticks FROM f GROUP BY field",
     "q45_nanosecond_times": "SELECT event_id, (epoch_us(ts) * 1000 + event_id % 1000) // 1000000000 AS sec, (epoch_us(ts) * 1000 + event_id % 1000) % 1000000000 AS nsec, epoch_us(ts) AS us FROM events",
-    "q47_header_equality": "SELECT len(embedding)::BIGINT AS width, (len(embedding) * 4)::BIGINT AS row_step, count(*)::BIGINT AS n FROM embeddings GROUP BY 1, 2",
+    "q47_header_equality": """WITH h AS (SELECT label, vec_id, len(embedding) - (vec_id % 7 = 0)::INT AS n, vec_id % 11 = 0 AS wide FROM embeddings),
+f AS (SELECT label, arg_min(n, vec_id) AS n0, arg_min(wide, vec_id) AS wide0 FROM h GROUP BY label)
+SELECT label, n = n0 AND wide = wide0 AS same, count(*)::BIGINT AS n FROM h JOIN f USING (label) GROUP BY 1, 2""",
     "q48_nan_free_subset": f"WITH {E}, g AS (SELECT event_id, idx, {GAPS} AS v FROM e) SELECT event_id, idx // 100 AS row, idx % 100 AS col FROM g WHERE NOT isnan(v)",
     "q49_ranked_samples": f"WITH {SIZED}, r AS (" + total("round(sum(out)::DOUBLE / sum(given)::DOUBLE, 6) AS ratio", "sized") + ") SELECT 'sample' || (row_number() OVER (ORDER BY ratio, event_type) - 1) AS name, event_type, ratio FROM r",
     "q50_typed_fields": "SELECT l_orderkey, l_linenumber FROM lineitem",
+    "q46_topic_fingerprint": f"""WITH {E}, b AS (SELECT event_type, chunk, flatten(list([(event_id >> (8 * k)) & 255 for k in range(8)] ORDER BY idx)) AS bytes FROM e GROUP BY 1, 2),
+f AS (SELECT event_type, chunk, list_reduce([x::UHUGEINT for x in bytes], lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT) AS h FROM b)
+SELECT event_type, chunk::BIGINT AS chunk, lpad(lower(hex(h::UBIGINT)), 16, '0') AS fnv FROM f""",
+    "q51_stage1_size": f"""WITH r AS (SELECT {CLOUD} AS cloud, event_id, user_id, {TICKS} AS q, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx FROM events),
+c AS (SELECT *, idx // 32768 AS chunk FROM r),
+t AS (SELECT cloud, chunk, q - coalesce(lag(q) OVER (PARTITION BY cloud, chunk ORDER BY idx), 0) AS d FROM c),
+v AS (SELECT cloud, chunk, sum({uv(zz('d') + ' + 1')}) AS bytes FROM t GROUP BY cloud, chunk),
+{section_bytes('ids', 'event_id')}, {section_bytes('users', 'user_id')}
+SELECT cloud, chunk::BIGINT AS chunk, ids.n AS n, (v.bytes + ids.bytes + users.bytes)::BIGINT AS stage1_bytes, (v.bytes + ids.bytes + users.bytes)::BIGINT AS bytes
+FROM v JOIN ids USING (cloud, chunk) JOIN users USING (cloud, chunk)""",
+    "q52_cdr_messages": f"""WITH {E} SELECT event_type, chunk::BIGINT AS chunk, {MESSAGE_BYTES}::BIGINT AS message_bytes, chunk::INT AS stamp_sec, 5::BIGINT AS stamp_nsec, event_type AS frame_id,
+  1::BIGINT AS height, count(*)::BIGINT AS width, 12::BIGINT AS point_step, 12 * count(*)::BIGINT AS row_step, 12 * count(*)::BIGINT AS size, true AS is_dense, 'value@0:8,user@8:5' AS fields
+FROM e GROUP BY event_type, chunk""",
+    "q53_compressed_messages": f"WITH {E} SELECT event_type, chunk::BIGINT AS chunk, count(*)::BIGINT AS width, true AS packed, sum({TICKS})::BIGINT AS ticks, sum(user_id)::BIGINT AS users FROM e GROUP BY event_type, chunk",
+    "q54_display_messages": """WITH p AS (SELECT label::BIGINT AS label, embedding[1]::FLOAT AS x, embedding[2]::FLOAT AS y, embedding[3]::FLOAT AS z FROM embeddings),
+v AS (SELECT label, round((x * 10::FLOAT)::DOUBLE) AS vx, round((y * 10::FLOAT)::DOUBLE) AS vy, round((z * 10::FLOAT)::DOUBLE) AS vz FROM p WHERE isfinite(x) AND isfinite(y) AND isfinite(z)),
+k AS (SELECT label, count(*)::BIGINT AS kept FROM (SELECT DISTINCT * FROM v) GROUP BY label)
+SELECT label, points, kept, 12 * kept AS kept_bytes FROM k JOIN (SELECT label, count(*)::BIGINT AS points FROM p GROUP BY label) USING (label)""",
+    "q55_blob_headers": f"SELECT {CLOUD} AS cloud, count(*)::BIGINT AS width, 24::BIGINT AS point_step, 'event_id:INT64,value:FLOAT64,user_id:INT64' AS fields FROM events GROUP BY event_type",
+    "q56_pcd_files": f"""WITH {XYZ}, l AS (SELECT label::BIGINT AS label, p.* FROM p JOIN embeddings USING (vec_id))
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, vec_id AS id, round(x::DOUBLE, 5) AS x, round(y::DOUBLE, 5) AS y, round(z::DOUBLE, 5) AS z FROM l""",
+    "q57_containers": """WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events))
+SELECT (event_id % 3) || '.mcap' AS file, event_type AS topic, CASE WHEN k % 2 = 1 THEN 'even' ELSE 'odd' END AS schema_name, count(*)::BIGINT AS messages,
+  sum(octet_length(encode(props)))::BIGINT AS bytes, min(epoch_us(ts)) AS first, sum(event_id % 1000)::BIGINT AS sequences FROM events JOIN t USING (event_type) GROUP BY event_id % 3, event_type, k""",
+    "q58_stream_reports": """WITH m AS (SELECT event_type, event_id, 1 + octet_length(encode(props)) AS raw, CASE WHEN user_id % 2 = 1 THEN 0 ELSE least(8, 1 + octet_length(encode(props))) END AS made,
+  (row_number() OVER (PARTITION BY event_type ORDER BY event_id) + 18) // 20 AS report FROM events),
+r AS (SELECT event_type AS topic, report, count(*)::BIGINT AS messages, sum(raw)::BIGINT AS raw_bytes, sum(made)::BIGINT AS out_bytes FROM m GROUP BY 1, 2)
+SELECT topic, report::BIGINT AS report, messages, raw_bytes, out_bytes, round(out_bytes::DOUBLE / raw_bytes::DOUBLE, 6) AS ratio FROM r WHERE messages = 20 OR report = 0""",
 }

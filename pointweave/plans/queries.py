@@ -7,16 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
+from pointweave import storage
 from pointweave.functions import binary, bits
-from pointweave.functions.text import parse_profile, to_yaml
+from pointweave.functions.text import from_yaml, parse_profile, to_yaml
 from pointweave.model import Compression, Encoding, FieldType, Header, PointField, packed_fields
 from pointweave.operators import adaptive, messages, rows, sequence
 from pointweave.operators.order import chunked, in_chunk, indexed
 from pointweave.plans import planner
-from pointweave.sources import tables
+from pointweave.sources import cdr, datasource, mcap, tables
+from pointweave.sources.definitions import CLOUD
 
 TOPIC = ["event_type"]
 SIZE = 1000
@@ -254,7 +258,12 @@ def q32_gorilla_size(spark, sf_dir):
 def event_points(spark, sf_dir, *columns):
     """cloud (a hash of the topic), idx and columns."""
     df = events(spark, sf_dir, *columns)
-    return df.select(F.xxhash64("event_type").alias("cloud"), "idx", *columns)
+    return df.select(cloud_of("event_type"), "idx", *columns)
+
+
+def cloud_of(topic: str) -> Column:
+    """A number for a topic: the first 60 bits of its SHA-256."""
+    return F.conv(F.substring(F.sha2(F.col(topic), 256), 1, 15), 16, 10).cast("bigint").alias("cloud")
 
 
 def event_header(df: DataFrame, compression: Compression = Compression.ZSTD) -> Header:
@@ -324,9 +333,10 @@ def q42_pass_through_union(spark, sf_dir):
 
 
 def q43_payload_size_check(spark, sf_dir):
-    """Rows whose size isn't what their dimensions say."""
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.length("l_returnflag").alias("size"), F.when(F.col("l_quantity") > 25, 2).otherwise(1).alias("step"))
-    return df.groupBy((F.col("size") == F.col("step")).alias("whole")).agg(F.count("*").alias("n"))
+    """Payloads whose size isn't what their dimensions say: a flag a row, of which some lines have two."""
+    step = F.when(F.col("l_quantity") > 25, 2).otherwise(1)
+    whole = messages.is_whole(F.length("l_returnflag"), F.lit(1), F.lit(1), step)
+    return table(spark, sf_dir, "lineitem").groupBy(whole.alias("whole")).agg(F.count("*").alias("n"))
 
 
 def q44_interleaved_payload(spark, sf_dir):
@@ -348,8 +358,6 @@ def q46_topic_fingerprint(spark, sf_dir):
     df = events(spark, sf_dir)
 
     def run(key, held):
-        import pyarrow as pa
-
         raw = held.sort_by("idx").column("event_id").to_numpy().astype("<i8").tobytes()
         return pa.table({"event_type": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int64()), "fnv": [f"{binary.fingerprint(raw):016x}"]})
 
@@ -357,9 +365,15 @@ def q46_topic_fingerprint(spark, sf_dir):
 
 
 def q47_header_equality(spark, sf_dir):
-    """Vectors' headers (dimensions and step) against the first one's."""
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("width"), (F.size("embedding") * 4).alias("row_step"))
-    return df.groupBy("width", "row_step").agg(F.count("*").alias("n")).select(F.col("width").cast("bigint").alias("width"), F.col("row_step").cast("bigint").alias("row_step"), "n")
+    """Vectors' headers (a field per component, some cut short or of another type) against the first one's of their label."""
+    n = F.size("embedding") - F.when(F.col("vec_id") % 7 == 0, 1).otherwise(0)
+    kind = F.when(F.col("vec_id") % 11 == 0, "FLOAT64").otherwise("FLOAT32")
+    field = lambda k: F.struct(F.concat(F.lit("f"), k.cast("string")).alias("name"), (k * 4).alias("offset"), kind.alias("type"), (F.col("vec_id") / 2).alias("resolution"))
+    header = F.struct(F.lit(1).alias("width"), F.lit(1).alias("height"), (n * 4).alias("point_step"), F.transform(F.sequence(F.lit(0), n - 1), field).alias("fields"))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "label", header.alias("header"))
+    first = df.groupBy("label").agg(F.min_by("header", "vec_id").alias("first"))
+    same = messages.same_layout(F.col("header"), F.col("first")).alias("same")
+    return df.join(first, "label").groupBy("label", same).agg(F.count("*").alias("n"))
 
 
 def q48_nan_free_subset(spark, sf_dir):
@@ -381,4 +395,144 @@ def q50_typed_fields(spark, sf_dir):
     return rows.fields_as(table(spark, sf_dir, "lineitem"), wanted)
 
 
+def q51_stage1_size(spark, sf_dir):
+    """Bytes of each chunk before compression: varints of ticks, and two sections in the mode of the cloud's first points."""
+    df = event_points(spark, sf_dir, "event_id", "value", "user_id")
+    return tables.encode_chunks(df, event_header(df, Compression.NONE)).select("cloud", "chunk", "n", "stage1_bytes", F.length("payload").cast("bigint").alias("bytes"))
+
+
+def event_messages(spark, sf_dir) -> DataFrame:
+    """event_type, chunk, data: each chunk's values and users as a cloud message."""
+    fields, step = packed_fields([("value", FieldType.FLOAT64, None), ("user", FieldType.INT32, None)])
+
+    def run(key, held):
+        held = held.sort_by("idx")
+        points = np.zeros(held.num_rows, Header(fields, point_step=step).dtype())
+        points["value"], points["user"] = held.column("value").to_numpy(), held.column("user_id").to_numpy()
+        cloud = cdr.Cloud(key[1].as_py(), 5, key[0].as_py(), 1, len(points), fields, False, step, step * len(points), points.tobytes(), True)
+        return pa.table({"event_type": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([cdr.encode(cloud)], pa.binary())})
+
+    return events(spark, sf_dir, "value", "user_id").groupBy("event_type", "chunk").applyInArrow(run, "event_type string, chunk long, data binary")
+
+
+def q52_cdr_messages(spark, sf_dir):
+    """Messages written and read again."""
+    own = event_messages(spark, sf_dir).select("event_type", "chunk", F.length("data").cast("bigint").alias("message_bytes"), tables.parse_clouds(F.col("data")).alias("c"))
+    names = F.array_join(F.transform("c.fields", lambda f: F.concat(f["name"], F.lit("@"), f["offset"].cast("string"), F.lit(":"), f["datatype"].cast("string"))), ",")
+    return own.select("event_type", "chunk", "message_bytes", "c.stamp_sec", "c.stamp_nsec", "c.frame_id", "c.height", "c.width", "c.point_step", "c.row_step", F.length("c.data").cast("bigint").alias("size"), "c.is_dense", names.alias("fields"))
+
+
+def q53_compressed_messages(spark, sf_dir):
+    """Messages to compressed ones (values in ticks of 0.01) and back: their points again."""
+
+    def packed(raw):
+        return cdr.to_compressed(raw, planner.apply_profile(cdr.header_of(cdr.decode(raw)), {"value": RES}))
+
+    own = event_messages(spark, sf_dir).withColumn("schema_name", F.lit(CLOUD))
+    made = tables.convert_messages(own, CLOUD, packed)
+    back = tables.convert_messages(made, CLOUD, cdr.from_compressed)
+    fields = tables.parse_clouds(F.col("data")).alias("c")
+    step = 12
+
+    @F.arrow_udf("struct<ticks:long,users:long>")
+    def sums(data: pa.Array) -> pa.Array:
+        kind, rows = np.dtype([("value", "<f8"), ("user", "<i4")]), []
+        for raw in data.to_pylist():
+            points = np.frombuffer(raw, kind)
+            rows.append({"ticks": int(np.rint(points["value"] / np.float64(np.float32(RES))).sum()), "users": int(points["user"].sum(dtype=np.int64))})
+        return pa.array(rows, pa.struct([("ticks", pa.int64()), ("users", pa.int64())]))
+
+    read = back.select("event_type", "chunk", fields).select("event_type", "chunk", "c.width", (F.col("c.point_step") == step).alias("packed"), sums(F.col("c.data")).alias("s"))
+    return read.select("event_type", "chunk", "width", "packed", "s.ticks", "s.users")
+
+
+def q54_display_messages(spark, sf_dir):
+    """Vectors of a label as a message, converted for display: a point a voxel of 0.1, by the packed key."""
+    fields, step = packed_fields([(n, FieldType.FLOAT32, None) for n in "xyz"])
+
+    def run(key, held):
+        held = held.sort_by("idx")
+        points = np.zeros(held.num_rows, Header(fields, point_step=step).dtype())
+        for n in "xyz":
+            points[n] = held.column(n).to_numpy()
+        raw = cdr.encode(cdr.Cloud(0, 0, "", 1, len(points), fields, False, step, step * len(points), points.tobytes(), True))
+        made = cdr.to_compressed(raw, planner.apply_profile(cdr.header_of(cdr.decode(raw)), {}, 0.1), visual=True)
+        back = cdr.decode(cdr.from_compressed(made))
+        return pa.table({"label": key[:1], "points": pa.array([len(points)], pa.int64()), "kept": pa.array([back.width], pa.int64()), "kept_bytes": pa.array([len(back.data)], pa.int64())})
+
+    own = xyz(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("bigint").alias("label")), "idx")
+    return own.groupBy("label").applyInArrow(run, "label long, points long, kept long, kept_bytes long")
+
+
+def q55_blob_headers(spark, sf_dir):
+    """Blobs written as files; their headers read from the files' beginnings, and the headers' text parsed."""
+    df = event_points(spark, sf_dir, "event_id", "value", "user_id")
+    header = event_header(df)
+    blob = tables.blobs(tables.encode_chunks(df, header), header).select(F.concat(F.col("cloud").cast("string"), F.lit(".cldn")).alias("name"), F.col("blob").alias("content"))
+    folder = storage.new_path(spark, "blobs")
+    tables.save_files(blob, folder)
+
+    @F.arrow_udf("struct<width:long,point_step:long,fields:string>")
+    def parsed(texts: pa.Array) -> pa.Array:
+        rows = []
+        for h in map(from_yaml, texts.to_pylist()):
+            rows.append({"width": h.width, "point_step": h.point_step, "fields": ",".join(f"{f.name}:{f.type.name}" for f in h.fields)})
+        return pa.array(rows, pa.struct([("width", pa.int64()), ("point_step", pa.int64()), ("fields", pa.string())]))
+
+    read = tables.read_blob_headers(spark, folder).select(F.regexp_extract("path", r"(\d+)\.cldn$", 1).cast("bigint").alias("cloud"), parsed(F.col("header")).alias("h"))
+    return read.select("cloud", "h.width", "h.point_step", "h.fields")
+
+
+def q56_pcd_files(spark, sf_dir):
+    """A PCD text file a label, written and read again."""
+    df = xyz(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), "label"), "idx")
+    line = F.concat_ws(" ", *[F.col(n).cast("string") for n in "xyz"], F.col("idx").cast("string"))
+    rows = df.groupBy("label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("idx", line.alias("line")))).alias("points"))
+    head = F.concat(F.lit("VERSION .7\nFIELDS x y z id\nSIZE 4 4 4 8\nTYPE F F F I\nCOUNT 1 1 1 1\nWIDTH "), F.col("n").cast("string"), F.lit("\nHEIGHT 1\nPOINTS "), F.col("n").cast("string"), F.lit("\nDATA ascii\n"))
+    made = rows.select(F.concat(F.col("label").cast("string"), F.lit(".pcd")).alias("name"), F.concat(head, F.array_join("points.line", "\n"), F.lit("\n")).cast("binary").alias("content"))
+    folder = storage.new_path(spark, "pcd")
+    tables.save_files(made, folder)
+    fields, step = packed_fields([(n, FieldType.FLOAT32, None) for n in "xyz"] + [("id", FieldType.INT64, None)])
+    read = tables.read_pcd(spark, folder, Header(fields, point_step=step))
+    return read.select(F.regexp_extract("path", r"(-?\d+)\.pcd$", 1).cast("bigint").alias("label"), "idx", "id", *[F.round(F.col(n).cast("double"), 5).alias(n) for n in "xyz"])
+
+
+def q57_containers(spark, sf_dir):
+    """Events as messages of containers, written by a task each and read again by chunks: topics, schemas, messages, bytes."""
+    tables.register(spark)
+    topics = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]  # topics of a container
+    box = mcap.Container([mcap.Schema(1, "even"), mcap.Schema(2, "odd")], [mcap.Channel(k + 1, 1 + k % 2, t) for k, t in enumerate(topics)])
+    number = F.create_map(*[F.lit(x) for k, t in enumerate(topics) for x in (t, k + 1)])
+    own = table(spark, sf_dir, "events").select(F.concat(F.pmod("event_id", F.lit(3)).cast("string"), F.lit(".mcap")).alias("path"), F.lit(0).alias("chunk"), F.col("event_id").alias("ordinal"), number[F.col("event_type")].alias("channel_id"), F.pmod("event_id", F.lit(1000)).alias("sequence"), micros().alias("log_time"), micros().alias("publish_time"), F.col("props").cast("binary").alias("data"))
+    folder = storage.new_path(spark, "containers")
+    dealt = own.repartition("path").sortWithinPartitions("path", "ordinal")
+    dealt.write.format("pointweave_mcap").option("definitions", datasource.definitions_json(box)).mode("append").save(folder)
+    read = spark.read.format("pointweave_mcap").option("path", folder).load()
+    channels = tables.read_mcap(spark, folder, "channels").select("path", F.col("id").alias("channel_id"), "schema_id", "topic")
+    schemas = tables.read_mcap(spark, folder, "schemas").select("path", F.col("id").alias("schema_id"), F.col("name").alias("schema_name"))
+    file = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
+    named = channels.join(schemas, ["path", "schema_id"]).select(file, "channel_id", "topic", "schema_name")
+    found = read.groupBy(file, "channel_id").agg(F.count("*").alias("messages"), F.sum(F.length("data")).alias("bytes"), F.min("log_time").alias("first"), F.sum("sequence").alias("sequences"))
+    return found.join(named, ["file", "channel_id"]).select("file", "topic", "schema_name", "messages", "bytes", "first", "sequences")
+
+
+def q58_stream_reports(spark, sf_dir):
+    """Events as a stream, converted (here cut to eight bytes, odd users an error) and reported on every 20 messages of a topic;
+    the first report has one."""
+    from pointweave.streaming import convert
+
+    own = table(spark, sf_dir, "events").select("event_type", "event_id", F.concat(F.pmod("user_id", F.lit(2)).cast("string"), F.col("props")).cast("binary").alias("data"))
+    given, out, state = (storage.new_path(spark, n) for n in ("arrivals", "reports", "state"))
+    own.write.parquet(given)  # all files are one batch, which is taken in order
+
+    def half(raw):
+        if raw[:1] == b"1":
+            raise ValueError("odd")
+        return raw[:8]
+
+    made = convert.convert(spark.readStream.schema(own.schema).parquet(given), half)
+    convert.start(convert.reports(made, "event_type", "event_id", out=F.coalesce("out_bytes", F.lit(0).cast("bigint"))), out, state).awaitTermination()
+    return spark.read.parquet(out).select("topic", "report", "messages", "raw_bytes", "out_bytes", F.round("ratio", 6).alias("ratio"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -10,7 +10,7 @@ from pointweave.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 #: Library-dependent sizes and fingerprints: no SQL.
-WITHOUT = {"q32_gorilla_size", "q34_zstd_chunk_size", "q46_topic_fingerprint"}
+WITHOUT = {"q32_gorilla_size", "q34_zstd_chunk_size"}
 
 
 @pytest.fixture(scope="module")
