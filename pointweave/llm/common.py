@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from pointweave.storage import drop_written, written
 
-#: Rows of text that are Python objects at a time.
-SLICE_ROWS = 512
+#: Rows of text that are Python objects at a time; links of 16 bytes whose minima are broadcast.
+SLICE_ROWS, BROADCAST_LINKS = 512, 500_000
 
 
 def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -104,24 +104,33 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected links (a long, b long): node, root (the least node of its component).
 
     Alternates large-star and small-star steps (Kiveris et al., 2014); each round is written to the shared folder.
-    Needs O(log^2 n) rounds; only nodes with a link come out. Hot nodes are pre-aggregated by ``min``; each minimum is written
-    before it is joined, as AQE splits a hot side of a join only if the other one isn't an aggregate over the same shuffle.
-    Null or self links are ignored; an empty input gives no rows.
+    Needs O(log^2 n) rounds; only nodes with a link come out. Hot nodes are pre-aggregated by ``min``. Minima of up to
+    ``BROADCAST_LINKS`` counted links are broadcast; of more, each is written before it is joined, as AQE splits a hot side of a
+    join only if the other one isn't an aggregate over the same shuffle. Null or self links are ignored; an empty input gives no
+    rows.
     """
     edges = written(
         links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    sign = None
+    sign, n = None, edges.count()
     for _ in range(max_rounds):
+        own: list[DataFrame] = []
+
+        def ready(df: DataFrame, own=own, n=n) -> DataFrame:
+            if n <= BROADCAST_LINKS:
+                return F.broadcast(df)
+            own.append(written(df, "linkleast"))
+            return own[-1]
+
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "linkleast")
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "linklarge")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "linklow")
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(ready(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(ready(low), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         new = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_written(edges, least, large, low)
-        edges = after
+        drop_written(edges, *own)
+        edges, n = after, new[0]
         if tuple(new) == sign:
             break
         sign = tuple(new)

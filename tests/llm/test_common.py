@@ -49,6 +49,14 @@ def test_a_hot_star_is_split(spark):
         common.drop_written(links, least)
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_components_of_many_and_few(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_LINKS", broadcast)
+    links = [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(1001, 1200)] + [(5, 5), (2000, 2001)]
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1200), 1000), 2000: 2000, 2001: 2000}
+
+
 def test_components_ignores_nulls(spark):
     links = spark.createDataFrame([(1, None), (None, 2), (3, 3), (4, 5)], "a long, b long")
     assert sorted(tuple(r) for r in common.components(links).collect()) == [(4, 4), (5, 4)]
