@@ -81,6 +81,9 @@ def total(select: str, rows: str) -> str:
     return f"SELECT event_type, {select} FROM {rows} GROUP BY event_type UNION ALL SELECT 'TOTAL', {select} FROM {rows} HAVING count(DISTINCT event_type) > 1"
 
 
+#: Of the bits in which a and e differ.
+LEADING = "(64 - length(bin(xor(a.v, e.v))))"
+TRAILING = "(length(bin(xor(a.v, e.v))) - length(rtrim(bin(xor(a.v, e.v)), '0')))"
 CLOUD = "('0x' || substr(sha256(event_type), 1, 15))::BIGINT"
 #: Header, stamp, frame, dimensions, two fields, flags, data and density, each aligned behind the four bytes.
 MESSAGE_BYTES = "4 + ((((((((12 + length(event_type) + 1 + 3) // 4) * 4 + 12) + 4 + 6 + 2 + 4 + 1 + 3 + 4) + 4 + 5 + 3 + 4 + 1 + 3 + 4) + 1 + 3 + 4 + 4) + 4) + 12 * count(*) + 1)"
@@ -129,6 +132,12 @@ SELECT chunk, n, mode, CASE mode WHEN 'delta_varint' THEN delta_varint WHEN 'pal
     "q29_count_window_report": f"WITH {SIZED}, o AS (SELECT *, row_number() OVER (ORDER BY event_id) AS seen FROM sized) SELECT ((seen + 18) // 20)::BIGINT AS report, count(*)::BIGINT AS messages, round(sum(out)::DOUBLE / sum(given)::DOUBLE, 6) AS ratio FROM o GROUP BY 1",
     "q30_max_compressed_size": "SELECT l_returnflag, count(*)::BIGINT AS n, (count(*) * (10 + 11 + 10 + 1) + ((count(*) + 32767) // 32768) * (4 + 32 * 4 + 1024))::BIGINT AS bound FROM lineitem GROUP BY l_returnflag",
     "q31_float_bits_xor": f"WITH {XYZ} SELECT vec_id, x FROM p",
+    "q32_gorilla_size": f"""WITH r AS (SELECT {CLOUD} AS cloud, (value::DOUBLE::BIT)::UBIGINT AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx FROM events),
+g AS (SELECT cloud, idx // 32768 AS chunk, count(*)::BIGINT AS n, list({{'v': v, 'l': -1::BIGINT, 't': 0::BIGINT, 'b': 8::BIGINT}} ORDER BY idx) AS rows FROM r GROUP BY 1, 2),
+f AS (SELECT cloud, chunk, n, list_reduce(rows, lambda a, e: CASE WHEN a.v = e.v THEN {{'v': e.v, 'l': a.l, 't': a.t, 'b': a.b + 1}}
+  WHEN a.l >= 0 AND {LEADING} >= a.l AND {TRAILING} >= a.t THEN {{'v': e.v, 'l': a.l, 't': a.t, 'b': a.b + (2 + 64 - a.l - a.t + 7) // 8}}
+  ELSE {{'v': e.v, 'l': least({LEADING}, 31), 't': {TRAILING}, 'b': a.b + (13 + 64 - least({LEADING}, 31) - {TRAILING} + 7) // 8}} END) AS last FROM g)
+SELECT cloud, chunk::BIGINT AS chunk, n, last.b AS bytes FROM f""",
     "q33_blob_roundtrip": f"SELECT event_id, round({TICKS} * '{RES}'::DOUBLE, 6) AS value, user_id FROM events",
     "q35_header_yaml": "SELECT 1::BIGINT AS id, concat_ws(chr(10), 'version: 5', 'width: 10', 'height: 2', 'point_step: 18', 'encoding_opt: LOSSY', 'compression_opt: ZSTD', 'fields:', '  - name: x', '    offset: 0', '    type: FLOAT32', '    resolution: 0.001', '  - name: ring', '    offset: 16', '    type: UINT16', '    resolution: null', '') AS header",
     "q36_message_totals": "SELECT event_type, count(*)::BIGINT AS messages, sum(length(props))::BIGINT AS bytes, sum(length(props))::BIGINT // 8 AS points, max(epoch_us(ts)) - min(epoch_us(ts)) AS duration_us, round(sum(length(props))::DOUBLE / nullif(max(epoch_us(ts)) - min(epoch_us(ts)), 0), 9) AS mb_per_s FROM events GROUP BY event_type",
