@@ -184,4 +184,12 @@ SELECT (event_id % 3) || '.mcap' AS file, event_type AS topic, CASE WHEN k % 2 =
   (row_number() OVER (PARTITION BY event_type ORDER BY event_id) + 18) // 20 AS report FROM events),
 r AS (SELECT event_type AS topic, report, count(*)::BIGINT AS messages, sum(raw)::BIGINT AS raw_bytes, sum(made)::BIGINT AS out_bytes FROM m GROUP BY 1, 2)
 SELECT topic, report::BIGINT AS report, messages, raw_bytes, out_bytes, round(out_bytes::DOUBLE / raw_bytes::DOUBLE, 6) AS ratio FROM r WHERE messages = 20 OR report = 0""",
+    "q59_versions_and_encodings": "SELECT label::BIGINT AS label, version::BIGINT AS version, encoding, count(*)::BIGINT AS points, true AS kept FROM embeddings, (SELECT unnest([2, 3, 4, 5]) AS version), (SELECT unnest(['NONE', 'LOSSY', 'LOSSLESS']) AS encoding) GROUP BY 1, 2, 3",
+    "q60_sql_functions": f"WITH {E} SELECT event_type, chunk::BIGINT AS chunk, 12 * count(*)::BIGINT AS size, 12 * count(*)::BIGINT AS points_bytes, count(*)::BIGINT AS width, {MESSAGE_BYTES}::BIGINT AS message_bytes, true AS fits, true AS refused FROM e GROUP BY event_type, chunk",
+    "q61_bit_packing": f"""WITH {E}, d AS (SELECT event_type, chunk, count(*) AS n, count(DISTINCT user_id % 37) AS k FROM e GROUP BY event_type, chunk),
+b AS (SELECT *, CASE WHEN k <= 1 THEN 0 ELSE length(bin(k - 1)) END AS bits FROM d)
+SELECT event_type, chunk::BIGINT AS chunk, bits::BIGINT AS bits, ((bits * n + 7) // 8)::BIGINT AS bytes, true AS whole FROM b""",
+    "q62_scalar_texts": """SELECT n_nationkey::BIGINT AS id, n_nationkey::BIGINT AS width, 'ZSTD' AS compression, n_name AS name,
+  ['INT8', 'UINT8', 'INT16', 'UINT16', 'INT32', 'UINT32', 'FLOAT32', 'FLOAT64', 'INT64', 'UINT64'][n_nationkey % 10 + 1] AS type,
+  CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE round(('0.' || (n_nationkey + 1))::DOUBLE, 6) END AS resolution FROM nation""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from pointweave import storage
-from pointweave.functions import binary, bits
+from pointweave.functions import binary, bits, sqlfuncs
 from pointweave.functions.text import from_yaml, parse_profile, to_yaml
 from pointweave.model import Compression, Encoding, FieldType, Header, PointField, packed_fields
 from pointweave.operators import adaptive, messages, rows, sequence
@@ -535,4 +535,74 @@ def q58_stream_reports(spark, sf_dir):
     return spark.read.parquet(out).select("topic", "report", "messages", "raw_bytes", "out_bytes", F.round("ratio", 6).alias("ratio"))
 
 
+def q59_versions_and_encodings(spark, sf_dir):
+    """Vectors of a label through blobs of every version and encoding, with as many leading floats as four: bytes of the points,
+    and whether they come back as near as the encoding promises; a header in binary form too."""
+    kinds = [(n, FieldType.FLOAT32, 0.01) for n in "xyz"] + [("w", FieldType.FLOAT32, None), ("id", FieldType.INT64, None), ("low", FieldType.UINT8, None), ("t", FieldType.FLOAT64, None)]
+    fields, step = packed_fields(kinds)
+
+    def run(key, held):
+        held, rows = held.sort_by("idx"), []
+        points = np.zeros(held.num_rows, Header(fields, point_step=step).dtype())
+        for n in "xyz":
+            points[n] = held.column(n).to_numpy()
+        points["w"], points["id"] = points["x"], held.column("idx").to_numpy()
+        points["low"], points["t"] = points["id"] % 256, points["id"] / 8
+        for version in (2, 3, 4, 5):
+            for encoding in Encoding:
+                header = Header(fields, len(points), 1, step, encoding, Compression.NONE, version=version)
+                read, back = binary.decode_blob(binary.encode_blob(header, points, text=version > 3))
+                near = [np.abs(back[n] - points[n]).max() <= (0.00502 if encoding == Encoding.LOSSY else 0) for n in "xyz"]
+                same = [np.array_equal(back[n], points[n]) for n in ("w", "id", "low", "t")]
+                rows.append({"label": key[0].as_py(), "version": read.version, "encoding": read.encoding.name, "points": len(back), "kept": bool(all(near + same))})
+        return pa.Table.from_pylist(rows, pa.schema([("label", pa.int64()), ("version", pa.int64()), ("encoding", pa.string()), ("points", pa.int64()), ("kept", pa.bool_())]))
+
+    own = xyz(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("bigint").alias("label")), "idx")
+    return own.groupBy("label").applyInArrow(run, "label long, version long, encoding string, points long, kept boolean")
+
+
+def q60_sql_functions(spark, sf_dir):
+    """The codec's functions in SQL over messages: sizes, headers, points and messages again."""
+    sqlfuncs.register(spark)
+    own = event_messages(spark, sf_dir).withColumn("packed", F.expr("pw_encode_message(data, 'value: 0.01')"))
+    again = own.selectExpr(
+        "event_type", "chunk", "pw_decompressed_size(packed) AS size", "cast(length(pw_decode_message(packed)) AS bigint) AS points_bytes",
+        "regexp_extract(pw_message_header(packed), 'width: ([0-9]+)', 1) AS width", "cast(length(pw_message_to_message(packed)) AS bigint) AS message_bytes",
+        "pw_compressed_size(packed) BETWEEN 1 AND length(packed) AS fits", "pw_message_header(data) IS NULL AS refused",
+    )
+    return again.withColumn("width", F.col("width").cast("bigint"))
+
+
+def q61_bit_packing(spark, sf_dir):
+    """Indexes into a chunk's distinct values, packed side by side, and unpacked again."""
+
+    def run(key, held):
+        values = held.sort_by("idx").column("v").to_numpy()
+        found, codes = binary.first_seen(values)
+        bits = binary.bits_of(len(found))
+        raw = binary.pack(codes, bits)
+        whole = np.array_equal(found[binary.unpack(raw, bits, len(codes))], values)
+        return pa.table({"event_type": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int64()), "bits": pa.array([bits], pa.int64()), "bytes": pa.array([len(raw)], pa.int64()), "whole": [bool(whole)]})
+
+    own = events(spark, sf_dir, "user_id").withColumn("v", F.col("user_id") % 37)
+    return own.groupBy("event_type", "chunk").applyInArrow(run, "event_type string, chunk long, bits long, bytes long, whole boolean")
+
+
+def q62_scalar_texts(spark, sf_dir):
+    """Header texts and scalars written by SQL and read by the parser: types by name, numbers, nulls, quotes and comments."""
+    names = F.array(*[F.lit(t.name) for t in FieldType if t])
+    kind = F.element_at(names, (F.col("n_nationkey") % 10 + 1).cast("int"))
+    resolution = F.when(F.col("n_nationkey") % 3 == 0, "null").otherwise(F.concat(F.lit("0."), (F.col("n_nationkey") + 1).cast("string")))
+    text = F.concat_ws("\n", F.lit("version: 5 # the newest"), F.concat(F.lit("width: "), F.col("n_nationkey").cast("string")), F.lit("height: 1"), F.lit("point_step: 8"), F.lit("encoding_opt: 'LOSSY'"), F.lit("compression_opt: 2"), F.lit("fields:"), F.concat(F.lit('  - name: "'), F.col("n_name"), F.lit('"')), F.lit("    offset: 0"), F.concat(F.lit("    type: "), kind), F.concat(F.lit("    resolution: "), resolution))
+
+    @F.arrow_udf("struct<width:long,compression:string,name:string,type:string,resolution:double>")
+    def parsed(texts: pa.Array) -> pa.Array:
+        rows = [(h, h.fields[0]) for h in map(from_yaml, texts.to_pylist())]
+        found = [{"width": h.width, "compression": h.compression.name, "name": f.name, "type": f.type.name, "resolution": f.resolution} for h, f in rows]
+        return pa.array(found, pa.struct([("width", pa.int64()), ("compression", pa.string()), ("name", pa.string()), ("type", pa.string()), ("resolution", pa.float64())]))
+
+    own = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), parsed(text).alias("h"))
+    return own.select("id", "h.width", "h.compression", "h.name", "h.type", F.round("h.resolution", 6).alias("resolution"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
