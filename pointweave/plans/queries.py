@@ -34,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """event_type, event_id, idx, chunk (of 1000) and columns."""
-    own = table(spark, sf_dir, "events").select("event_id", "event_type", *columns)
+    """event_type, event_id, idx, chunk (of 1000) and columns, each once."""
+    own = table(spark, sf_dir, "events").select(*dict.fromkeys(["event_id", "event_type", *columns]))
     return chunked(indexed(own, TOPIC, ["event_id"]), size=SIZE)
 
 
