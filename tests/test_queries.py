@@ -50,7 +50,7 @@ def test_others_give_rows(spark, sf_dir, name):
 
 
 #: Queries whose points have the event's id among their columns.
-WITH_ID = ["q33_blob_roundtrip", "q34_zstd_chunk_size", "q51_stage1_size"]
+WITH_ID = ["q33_blob_roundtrip", "q34_zstd_chunk_size", "q51_stage1_size", "q55_blob_headers"]
 
 
 @pytest.mark.parametrize("name", WITH_ID)
