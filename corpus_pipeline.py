@@ -49,8 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the SHA-256 of the ids' decimals and of the decoded bytes."""
     own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = docs.select("doc_id", bpe.encode(F.col("text"), *own).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), *own).alias("decoded"))
+    both = docs.select("doc_id", bpe.roundtrip(F.col("text"), *own).alias("both")).select("doc_id", "both.*")
     shown = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", shown.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

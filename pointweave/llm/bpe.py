@@ -28,10 +28,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pointweave.llm import latin
-from pointweave.llm.common import TwoGenerations, batched
+from pointweave.llm.common import TwoGenerations, batched, released
 
 NONE = np.int64(2**62)
 SIZES, ROWS = (8, 16, 32, 64), 8192
+#: Characters that ``roundtrip`` encodes at a time.
+AT_ONCE = 1 << 18
 #: The size of a pre-token's row, by its bytes.
 SIZE_OF = [next(s for s in SIZES if n <= s) for n in range(SIZES[-1] + 1)]
 
@@ -237,6 +239,15 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def id_lists(packed: bytearray, ends: list[int]) -> pa.Array:
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(packed)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def byte_strings(raw: bytearray, ends: list[int]) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.array(ends, pa.int32()).buffers()[1], pa.py_buffer(raw)])
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """The ids of a text, as an array of int."""
 
@@ -247,8 +258,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
             for ids in own.encode(some):
                 packed += ids.data
                 ends.append(len(packed) // 4)
-        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(packed)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return id_lists(packed, ends)
 
     return bpe_encode(text.cast("string"))
 
@@ -265,6 +275,25 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
             if not none:
                 raw += own.decode(values[a:b].tolist())
             at.append(len(raw))
-        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.array(at, pa.int32()).buffers()[1], pa.py_buffer(raw)])
+        return byte_strings(raw, at)
 
     return bpe_decode(ids)
+
+
+def roundtrip(text: Column, path: str, pattern: str) -> Column:
+    """A struct of a text's ids and the bytes that they decode to, as ``decode`` of ``encode`` gives them. As two functions Spark
+    would encode each text twice, once for either column. Not moved or repeated by the optimizer."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def bpe_roundtrip(texts: pa.Array) -> pa.Array:
+        released()
+        own, packed, ends, raw, at = encoder(path, pattern), bytearray(), [0], bytearray(), [0]
+        for some in batched(texts, AT_ONCE):
+            for ids in own.encode(some):
+                packed += ids.data
+                ends.append(len(packed) // 4)
+                raw += own.decode(ids.tolist())
+                at.append(len(raw))
+        return pa.StructArray.from_arrays([id_lists(packed, ends), byte_strings(raw, at)], ["ids", "decoded"])
+
+    return bpe_roundtrip.asNondeterministic()(text.cast("string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,18 @@ def batched(texts: pa.Array, chars: int = 1 << 20):
             yield some
 
 
+#: glibc's, where there is one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Give this process's free memory back to the system. A Python worker goes from stage to stage, and what earlier ones have
+    freed would else count beside what the next one holds."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 class TwoGenerations(dict):
     """A cache that is bounded in entries and, as long keys stay only until ``rotate``, in bytes: at ``limit`` entries the young
     become the old, and the old ones go. What goes is computed anew, so results never depend on the limits."""

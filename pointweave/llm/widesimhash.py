@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import components, few, mix64, slices
+from pointweave.llm.common import components, few, mix64, released, slices
 from pointweave.llm.simhash import keep_first
 from pointweave.storage import drop_written, scratch, written
 
@@ -130,6 +130,7 @@ def marks_of(lanes: int, words: int):
 
     @F.arrow_udf(MARK)
     def mark(texts: pa.Array) -> pa.Array:
+        released()
         hashes, sizes, fps = [], [], []
         for part in slices(texts):
             sets = [shingles(t, words) for t in part]
@@ -322,6 +323,7 @@ def meeting(layout: Layout, run_rows: int):
                     held, rows = [], 0
             if held:
                 yield ordered(*map(np.concatenate, zip(*held, strict=True)))
+        released()
 
     return run
 
@@ -415,6 +417,8 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.add.reduceat(equal, np.cumsum(sizes) - sizes, dtype=np.int64)
             links += [(a[first], b[first + j]) for j in np.flatnonzero(9 * both >= 4 * (len(own) + sizes))]
         yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+    sets = {}
+    released()
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:

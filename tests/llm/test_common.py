@@ -1,3 +1,4 @@
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,16 @@ def test_cache_forgets():
     assert calls > 6
 
 
+@pytest.mark.skipif(common.TRIM is None, reason="no glibc")
+def test_released():
+    held = [bytes(1000) for _ in range(200_000)]
+    last = [bytes(1000) for _ in range(10)]  # above them, so that they don't go by themselves
+    del held
+    before = psutil.Process().memory_info().rss
+    common.released()
+    assert psutil.Process().memory_info().rss < before - 100_000_000 and last
+
+
 def test_unclaimed(docs_of):
     common.unclaimed(docs_of([]), "free")
     with pytest.raises(ValueError, match="words"):

@@ -46,6 +46,16 @@ def test_stages_keep_the_columns(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_dedup", "decontaminate", "byte_bpe"]
 
 
+def test_texts_are_encoded_once(spark, docs_of, sf_dir):
+    docs = docs_of([(1, "Some words, and some more."), (2, None), (3, ""), (None, "Zwölf 12 Boxkämpfer " * 50)])
+    done = corpus_pipeline.byte_bpe(spark, docs, sf_dir)
+    assert done._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython", 1)[1].split("\n")[0].count("text") == 1
+    own = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    ids = docs.select("doc_id", bpe.encode(F.col("text"), *own).alias("ids"))
+    want = ids.select("doc_id", "ids", F.sha2(bpe.decode(F.col("ids"), *own), 256).alias("decoded_sha256"))
+    assert sorted(map(str, done.select("doc_id", "ids", "decoded_sha256").collect())) == sorted(map(str, want.collect()))
+
+
 def test_nulls_empties_ties_and_repeated_rows(spark, docs_of, tmp_path):
     """Over a table of its own, with columns whose names the stages use themselves; and what is left of the tables written."""
     clean = lambda k, n=80: " ".join(f"w{k}x{j}" for j in range(n))
